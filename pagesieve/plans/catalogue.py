@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pagesieve.plans import nested
+from pagesieve.plans import html_queries, nested, url_queries
 
-QUERIES = {**nested.QUERIES}
-SQL: dict[str, str] = {}
-FLAGSHIP = "p7_found"
+_MODULES = (nested, url_queries, html_queries)
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in _MODULES for k, s in getattr(m, "SQL", {}).items()}
+FLAGSHIP = "url_lexical"
