@@ -16,8 +16,8 @@ a component heavier than a bin fills a bin alone and shows in the reported share
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,31 +26,37 @@ from pagesieve.runtime import materialize
 
 BINS = 100
 #: Components balanced in one task.
-BLOCK = 50_000
+BLOCK = 20_000
 
 
 def difference(tuples: list[list[tuple[float, list]]]) -> list[tuple[float, list]]:
     """Largest differencing of k-tuples of (weight, members): the two with the largest spread are combined, heavy with light, until one is left."""
-    heap = [(-(t[0][0] - t[-1][0]), i, t) for i, t in enumerate(tuples)]
+    heap = []
+    for i, t in enumerate(tuples):
+        t = sorted(t, key=lambda p: -p[0])
+        heap.append((t[-1][0] - t[0][0], i, np.array([w for w, _ in t]), [m for _, m in t]))
     heapq.heapify(heap)
     n = len(heap)
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=lambda p: -p[0])
-        heapq.heappush(heap, (-(merged[0][0] - merged[-1][0]), n, merged))
+        (_, _, wa, ma), (_, _, wb, mb) = heapq.heappop(heap), heapq.heappop(heap)
+        w = wa + wb[::-1]
+        members = []
+        for x, y in zip(ma, reversed(mb)):
+            if len(x) < len(y):
+                x, y = y, x
+            members.append([*x, *y] if y else x)
+        order = np.argsort(-w, kind="stable")
+        heapq.heappush(heap, (w[order[-1]] - w[order[0]], n, w[order], [members[k] for k in order]))
         n += 1
-    return heap[0][2] if heap else []
+    return list(zip(heap[0][2].tolist(), heap[0][3])) if heap else []
 
 
 def balance(weights: list[float], bins: int) -> list[int]:
-    """Bin of each weight. Items enter in groups of ``bins`` by falling weight, a tuple each, so that no tuple is mostly empty."""
-    order = sorted(range(len(weights)), key=lambda i: (-weights[i], i))
-    tuples = []
-    for s in range(0, len(order), bins):
-        t = [(weights[i], [i]) for i in order[s : s + bins]]
-        tuples.append(t + [(0.0, [])] * (bins - len(t)))
+    """Bin of each weight."""
     out = [0] * len(weights)
-    for k, (_, members) in enumerate(difference(tuples)):
+    empty = [(0.0, [])] * (bins - 1)
+    order = sorted(range(len(weights)), key=lambda i: (-weights[i], i))
+    for k, (_, members) in enumerate(difference([[(weights[i], [i]), *empty] for i in order])):
         for i in members:
             out[i] = k
     return out

@@ -38,7 +38,8 @@ def normalized(texts: pa.Array) -> pa.Array:
     """Words of letters and digits in lower case, one blank apart."""
     t = pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=_INVISIBLE, replacement="")
     t = pc.utf8_normalize(t, form="NFKC")
-    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(t), pattern=_WORD_GAP, replacement=" "), characters=" ")
+    t = pc.replace_substring(pc.utf8_lower(t), pattern="ß", replacement="ss")
+    return pc.utf8_trim(pc.replace_substring_regex(t, pattern=_WORD_GAP, replacement=" "), characters=" ")
 
 
 def _items(rows: list[tuple]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:

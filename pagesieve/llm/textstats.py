@@ -208,7 +208,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
         ((s["code_rate"] >= 0.2) & (s["common_share"] < 0.2), junk),
         ((s["common_share"] < 0.1) & (s["words"] >= 10) & (s["words_per_line"] >= 10) & (s["separated"] < 0.5) & (s["cell_lines"] < 0.4), junk),
         ((s["odd_words"] >= 0.12) & (s["common_share"] < 0.15), junk),
-        ((s["ended_words"] < 0.1) & (s["common_share"] < 0.12) & (s["lines"] <= 3) & (s["separated"] < 0.5), junk),
+        ((s["words"] > 0) & (s["ended_words"] < 0.1) & (s["common_share"] < 0.12) & (s["lines"] <= 3) & (s["separated"] < 0.5), junk),
     ]
     out = np.zeros((n, len(functions)), np.uint8)
     for k, (flag, kind) in enumerate(functions):
