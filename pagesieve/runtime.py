@@ -63,5 +63,6 @@ def latest(df: DataFrame, key: str, order: list[str], columns: dict[str, Column]
     aliases, names = list(columns), [f"_c{i}" for i in range(len(columns))]
     keyed = df.select(F.col(key).alias("_k"), F.struct(*order).alias("_o"), *[c.alias(n) for c, n in zip(columns.values(), names)])
     payload = F.struct(*names)
-    picked = keyed.groupBy("_k").agg(F.max_by(payload, F.struct(F.col("_o"), F.xxhash64(*names).alias("h"))).alias("_p"))
+    hashed = F.xxhash64(F.to_json(payload)) if "map<" in keyed.schema.simpleString() else F.xxhash64(*names)
+    picked = keyed.groupBy("_k").agg(F.max_by(payload, F.struct(F.col("_o"), hashed.alias("h"))).alias("_p"))
     return picked.select(F.col("_k").alias(key), *[F.col(f"_p.{n}").alias(a) for n, a in zip(names, aliases)])
