@@ -31,7 +31,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shred.flat_table(_observations(spark, sf_dir), name)
+        t = shred.flat_table(_observations(spark, sf_dir), name)
+        return t.withColumn("status_code", F.coalesce("status_code", F.lit(-1))) if name == "redirect" else t
 
     return query
 
@@ -42,4 +43,20 @@ def p7_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", "parent_no", "item_no", F.try_element_at("attributes", F.lit("type")).alias("type"), F.try_element_at("attributes", F.lit("name")).alias("name"), F.size("attributes").alias("attributes"))
 
 
+_LATEST = "o AS (SELECT id, input FROM observations QUALIFY row_number() OVER (PARTITION BY id ORDER BY captured_at DESC, ingested_at DESC) = 1)"
+
+
+def _list_sql(path: str, parent: str = "o") -> str:
+    """The entries of a list with their positions from 0; nulls keep theirs and are no rows."""
+    return f"SELECT id, unnest({path}) AS x, generate_subscripts({path}, 1) - 1 AS item_no FROM {parent}"
+
+
+_FORMS = f"f AS ({_list_sql('input.forms.items')})"
+SQL = {
+    "p7_redirects": f"WITH {_LATEST}, r AS ({_list_sql('input.redirects')}) SELECT id, -1 AS parent_no, item_no, coalesce(x.status_code, -1) AS status_code, x.url AS url FROM r WHERE x IS NOT NULL",
+    "p7_forms": f"WITH {_LATEST}, {_FORMS} SELECT id, -1 AS parent_no, item_no, x.method AS method, x.action AS action, x.name AS name, x.id AS form_id, x.text AS text FROM f WHERE x IS NOT NULL",
+    "p7_anchors": f"WITH {_LATEST}, a AS ({_list_sql('input.anchors.items')}) SELECT id, -1 AS parent_no, item_no, x.text AS text, x.href AS href, x.title AS title, x.aria_label AS aria_label FROM a WHERE x IS NOT NULL",
+    "p7_inputs": f"WITH {_LATEST}, {_FORMS}, i AS (SELECT id, item_no AS parent_no, unnest(x.inputs) AS m, generate_subscripts(x.inputs, 1) - 1 AS item_no FROM f WHERE x IS NOT NULL) SELECT id, parent_no, item_no, m['type'] AS type, m['name'] AS name, cardinality(m) AS attributes FROM i WHERE m IS NOT NULL",
+    "p7_buttons": f"WITH {_LATEST}, {_FORMS}, b AS (SELECT id, item_no AS parent_no, unnest(x.buttons) AS label, generate_subscripts(x.buttons, 1) - 1 AS item_no FROM f WHERE x IS NOT NULL) SELECT id, parent_no, item_no, label FROM b WHERE label IS NOT NULL",
+}
 QUERIES = {"p7_found": p7_found, "p7_redirects": _flat("redirect"), "p7_forms": _flat("form"), "p7_anchors": _flat("anchor"), "p7_inputs": p7_inputs, "p7_buttons": _flat("form_button")}

@@ -9,7 +9,7 @@ from pagesieve.functions.urls import host, is_ip_host, registered_domain
 from pagesieve.operators import html_features as HF
 from pagesieve.operators import page_graph, rules
 from pagesieve.operators import url_features as UF
-from pagesieve.plans.url_queries import suffixes
+from pagesieve.plans.url_queries import host_sql, reg_sql, suffixes
 from pagesieve.runtime import latest, table
 
 
@@ -145,7 +145,20 @@ def char_entropy(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (hin_scores, stage_b_rules, stage_b_measurements, topk_evidence, kapan_row, uci_row, keep_filter_counts, skip_doc, label_normalize, clean_rows, redact_emails, text_windows, char_entropy)}
 
+_R = "lower(trim(coalesce(ref, '')))"
+_HIN = f"""WITH o AS (SELECT id, input FROM observations QUALIFY row_number() OVER (PARTITION BY id ORDER BY captured_at DESC, ingested_at DESC) = 1), b AS (SELECT id, input, {host_sql("coalesce(input.final_url, input.url, '')")} AS bh FROM o), c AS (SELECT id, input, coalesce({reg_sql('bh')}, '') AS base FROM b),
+ l AS (SELECT id, base, 'd' AS kind, unnest(list_transform(list_filter(input.anchors.items, lambda x: x IS NOT NULL), lambda x: coalesce(x.href, ''))) AS ref FROM c UNION ALL SELECT id, base, 'd', unnest(list_transform(list_filter(input.forms.items, lambda x: x IS NOT NULL), lambda x: coalesce(x.action, ''))) FROM c
+  UNION ALL SELECT id, base, 'r', unnest(list_transform(list_filter(input.iframes.items, lambda x: x IS NOT NULL), lambda x: coalesce(x.src, ''))) FROM c {''.join(f" UNION ALL SELECT id, base, 'r', unnest(input.resources.{r}) FROM c" for r in ('favicon_hrefs', 'script_src_sample', 'stylesheet_href_sample', 'image_src_sample'))}),
+ h AS (SELECT id, base, kind, {_R} AS low, {host_sql(_R)} AS hh FROM l), e AS (SELECT id, base, kind, low, coalesce({reg_sql('hh')}, '') AS d FROM h),
+ r AS (SELECT id, kind, CASE WHEN low IN ('', '#', '/', 'about:blank') OR regexp_matches(low, '^(javascript:|mailto:|tel:)') THEN 'null' WHEN NOT regexp_matches(low, '^(https?:)?//') THEN 'relative' WHEN d = base THEN 'local' ELSE 'foreign' END AS rel, d FROM e),
+ n AS (SELECT id, kind, CASE rel WHEN 'null' THEN '<null>' WHEN 'relative' THEN '<relative>' ELSE d END AS key, count(*) FILTER (rel = 'local') AS l, count(*) FILTER (rel = 'foreign') AS f, count(*) FILTER (rel = 'null') AS n, count(*) FILTER (rel = 'relative') AS r FROM r GROUP BY ALL),
+ s AS (SELECT *, (f + n + 0.25::DOUBLE * r - l) / (l + f + n + r) AS b FROM n),
+ g AS (SELECT id, avg(b) AS m, var_pop(b) AS v, 0.4 * greatest(max(b) - avg(b), avg(b) - min(b)) AS mv, {', '.join(f"coalesce(sum({c}) FILTER (kind = '{k}'), 0)::BIGINT AS {p}_{w}_link" for k, p in (('d', 'dom'), ('r', 'res')) for c, w in (('l', 'local'), ('f', 'foreign'), ('n', 'null'), ('r', 'relative')))},
+  avg(b) FILTER (kind = 'd') AS md, var_pop(b) FILTER (kind = 'd') AS vd, count(*) FILTER (kind = 'd') AS nd, avg(b) FILTER (kind = 'r') AS mr, var_pop(b) FILTER (kind = 'r') AS vr, count(*) FILTER (kind = 'r') AS nr FROM s GROUP BY id)
+ SELECT o.id, round(coalesce(m, 0), 6) AS score, CASE WHEN coalesce(mv, 0) < 1e-5 THEN 1 ELSE 2 END AS iters, {', '.join(f'coalesce({p}_{w}_link, 0) AS {p}_{w}_link' for p in ('dom', 'res') for w in ('local', 'foreign', 'null', 'relative'))}, round(coalesce(0.6 * md + 0.4 * m, 0), 6) AS dom_mean, round(coalesce(0.36 * vd, 0), 6) AS dom_var, round(coalesce(m, 0), 6) AS mean, round(coalesce(0.36 * v, 0), 6) AS var,
+  coalesce(nd, 0) AS domain_object_count, coalesce(nr, 0) AS resource_object_count, round(coalesce(0.6 * mr + 0.4 * m, 0), 6) AS resource_mean, round(coalesce(0.36 * vr, 0), 6) AS resource_var FROM o LEFT JOIN g USING (id)"""
 SQL = {
+    "hin_scores": _HIN,
     "keep_filter_counts": "SELECT CASE WHEN coalesce(metadata.status_code <> 200, true) THEN 'status' WHEN coalesce(trim(html), '') = '' THEN 'empty' WHEN trim(regexp_replace(lower(coalesce(title, '')), '[\\s\\p{Z}]+', ' ', 'g')) IN ('404 not found', '403 forbidden', 'access denied', 'error') THEN 'error title' WHEN length(html) > 5000000 THEN 'size' ELSE 'kept' END AS reason, count(*) AS n FROM page_docs GROUP BY 1",
     "skip_doc": "SELECT DISTINCT id FROM page_docs WHERE error IS NULL AND coalesce(metadata.status_code < 400, true)",
     "label_normalize": "SELECT CASE WHEN lower(trim(label)) IN ('phish', 'malicious', 'phishing') THEN 'phishing' WHEN lower(trim(label)) IN ('legitimate', 'safe', 'benign') THEN 'benign' END AS label, count(*) AS n FROM observations GROUP BY 1",
