@@ -27,19 +27,31 @@ def hin_scores(spark, sf_dir):
     return page_graph.graph_scores(pages, suffixes(spark, sf_dir))
 
 
+def _prepared(spark, sf_dir):
+    """Measures of every stored state; ``id`` holds the time of the state with it, so that only results are shuffled to pick the latest."""
+    state = F.struct("id", "captured_at", "ingested_at")
+    return rules.prepare(table(spark, sf_dir, "observations").select(state.alias("id"), "input"), suffixes(spark, sf_dir))
+
+
+def _last(df, *columns):
+    out = F.struct(*columns)
+    return df.groupBy(F.col("id.id").alias("id")).agg(F.max_by(out, F.struct("id.captured_at", "id.ingested_at", F.xxhash64(*columns))).alias("_o")).select("id", "_o.*")
+
+
 def stage_b_rules(spark, sf_dir):
     """Evidence of every observation, a row each."""
-    e = rules.evidence(rules.prepare(_seen(spark, sf_dir), suffixes(spark, sf_dir)))
+    e = _last(rules.evidence(_prepared(spark, sf_dir)), "features")
     return e.select("id", F.explode("features").alias("f")).select("id", F.col("f.id").alias("rule"), "f.direction", "f.severity")
 
 
 def stage_b_measurements(spark, sf_dir):
-    return rules.measurements(rules.prepare(_seen(spark, sf_dir), suffixes(spark, sf_dir)))
+    m = rules.measurements(_prepared(spark, sf_dir))
+    return _last(m, *[c for c in m.columns if c != "id"])
 
 
 def topk_evidence(spark, sf_dir):
     """The three gravest pieces of evidence of every observation."""
-    e = rules.evidence(rules.prepare(_seen(spark, sf_dir), suffixes(spark, sf_dir)), exclude=["anchors.inventory"], most=3)
+    e = _last(rules.evidence(_prepared(spark, sf_dir), exclude=["anchors.inventory"], most=3), "features")
     return e.select("id", F.array_join(F.transform("features", lambda f: f["id"]), ",").alias("rules"))
 
 
