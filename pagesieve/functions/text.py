@@ -110,6 +110,14 @@ def matched_terms(s: Column, terms: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike(pattern(t)), F.lit(t)) for t in sorted(terms)]))
 
 
+def holds_term(s: Column, terms: list[str]) -> Column:
+    """Whether any of the terms occurs as whole words: one scan for all of them."""
+    import re
+
+    any_of = "|".join(r"\s+".join(re.escape(w) for w in t.lower().split()) for t in terms)
+    return F.lower(s).rlike(rf"(?U)(?<!\w)(?:{any_of})(?!\w)")
+
+
 def longest_char_run(s: Column, size: int) -> Column:
     """Number of windows of ``size`` equal characters."""
     n = F.length(s) - size + 1

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions.text import matched_terms, redact_email
+from pagesieve.functions.text import holds_term, redact_email
 from pagesieve.functions.urls import host, registered_domain_of_host
 
 REGISTRY: dict[str, tuple[Callable[[], Column], str, str, str]] = {}
@@ -65,7 +65,7 @@ def prepare(observations: DataFrame, suffixes: list[str]) -> DataFrame:
     df = df.withColumns({"m_outer_actions": F.size(outer(F.col("m_actions"))), "m_outer_anchors": F.size(outer(F.col("m_hrefs"))), "m_null_anchors": F.size(nulls), "m_outer_scripts": F.size(outer(F.col("m_scripts"))), "m_outer_icons": F.size(outer(F.col("m_favicons")))})
     df = df.withColumn("m_anchor_text", F.lower(F.concat_ws(" | ", F.transform("m_anchors", lambda a: F.coalesce(a["text"], F.lit("")))))).withColumn("m_form_text", F.lower(F.concat_ws(" | ", F.transform("m_forms", lambda f: F.coalesce(f["text"], F.lit(""))))))
     df = df.withColumn("m_low", F.lower("m_text"))
-    return df.withColumn("m_credential", (F.col("m_passwords") > 0) | (F.size(matched_terms(F.col("m_form_text"), LEXICONS["credential"])) > 0))
+    return df.withColumn("m_credential", (F.col("m_passwords") > 0) | holds_term(F.col("m_form_text"), LEXICONS["credential"]))
 
 
 def _c(name: str) -> Column:
@@ -73,7 +73,7 @@ def _c(name: str) -> Column:
 
 
 def _says(column: str, lexicon: str) -> Column:
-    return F.size(matched_terms(_c(column), LEXICONS[lexicon])) > 0
+    return holds_term(_c(column), LEXICONS[lexicon])
 
 
 _labels = lambda: F.size(F.filter(F.split(_c("host"), r"\."), lambda x: x != ""))

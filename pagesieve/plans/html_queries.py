@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from pagesieve.operators import html_features as HF
 from pagesieve.plans.url_queries import suffixes
-from pagesieve.runtime import table
+from pagesieve.runtime import spread, table
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "page_docs").where("length(html) > 0").select("id", "html", "title", F.coalesce("metadata.final_url", "url").alias("base"))
     # rows of an id have one content: numbers are taken where the page lies, then one row kept
-    return HF.html_features(p, "id", "html", "title", "base", suffixes(spark, sf_dir)).dropDuplicates(["id"])
+    return HF.html_features(spread(p), "id", "html", "title", "base", suffixes(spark, sf_dir)).dropDuplicates(["id"])
 
 
 def html_dom_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pagesieve.operators import html_features as HF
 from pagesieve.operators import page_graph, rules
 from pagesieve.operators import url_features as UF
 from pagesieve.plans.url_queries import host_sql, reg_sql, suffixes
-from pagesieve.runtime import latest, table
+from pagesieve.runtime import latest, spread, table
 
 
 def _seen(spark, sf_dir):
@@ -30,7 +30,7 @@ def hin_scores(spark, sf_dir):
 def _prepared(spark, sf_dir):
     """Measures of every stored state; ``id`` holds the time of the state with it, so that only results are shuffled to pick the latest."""
     state = F.struct("id", "captured_at", "ingested_at")
-    return rules.prepare(table(spark, sf_dir, "observations").select(state.alias("id"), "input"), suffixes(spark, sf_dir))
+    return rules.prepare(spread(table(spark, sf_dir, "observations").select(state.alias("id"), "input")), suffixes(spark, sf_dir))
 
 
 def _last(df, *columns):
@@ -58,7 +58,7 @@ def topk_evidence(spark, sf_dir):
 def _paper(spark, sf_dir):
     s = suffixes(spark, sf_dir)
     p = table(spark, sf_dir, "page_docs").where("length(html) > 0").select("id", "html", "title", F.coalesce("metadata.url", "url").alias("requested"), F.coalesce("metadata.final_url", "url").alias("final"), F.col("metadata.status_code").alias("status"), F.size(F.coalesce("metadata.redirect_history", F.array().cast("array<struct<status_code:int,url:string>>"))).alias("hops"))
-    numbers = HF.html_features(p, "id", "html", "title", "final", s).dropDuplicates(["id"])
+    numbers = HF.html_features(spread(p), "id", "html", "title", "final", s).dropDuplicates(["id"])
     flat = p.withColumn("mailto", F.contains(F.lower("html"), F.lit("mailto:"))).drop("html", "title").dropDuplicates(["id"])
     label = table(spark, sf_dir, "observations").groupBy("id").agg(F.max_by(F.lower(F.trim("label")), F.struct("captured_at", "ingested_at")).alias("label"))
     return UF.url_features(flat, "final", "requested", s).join(numbers, "id").join(label, "id", "left"), s

@@ -66,3 +66,12 @@ def latest(df: DataFrame, key: str, order: list[str], columns: dict[str, Column]
     hashed = F.xxhash64(F.to_json(payload)) if "map<" in keyed.schema.simpleString() else F.xxhash64(*names)
     picked = keyed.groupBy("_k").agg(F.max_by(payload, F.struct(F.col("_o"), hashed.alias("h"))).alias("_p"))
     return picked.select(F.col("_k").alias(key), *[F.col(f"_p.{n}").alias(a) for n, a in zip(names, aliases)])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, where they come in fewer than half as many partitions (a few small files).
+
+    For work that costs far more than moving the rows. A scan of a large table has more partitions than that and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
