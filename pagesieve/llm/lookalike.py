@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.runtime import materialize
+
 # Letters of other scripts drawn like a Latin one (upper case first where both exist).
 LOOKALIKES = {
     # Cyrillic
@@ -177,7 +179,9 @@ def lookalike_pairs(records: DataFrame, id_col: str, columns: dict[str, str]) ->
     """
     entries = F.array(*[F.struct(F.lit(name).alias("field"), F.col(c).alias("raw")) for name, c in columns.items()])
     long = records.select(F.col(id_col).alias("id"), F.explode(entries).alias("e")).select("id", "e.field", "e.raw").where(F.col("raw").isNotNull())
-    forms = canonical_forms(long)
+    # both are read several times: values once picked from the states of their records, forms once made
+    long = materialize(long, "values")
+    forms = materialize(canonical_forms(long), "forms")
     changed = long.join(forms, "raw").select("field", "form", "raw", "id")
     odd_raw = forms.select(F.col("raw"))
     own = long.join(odd_raw, "raw", "left_anti").select("field", F.col("raw").alias("form"), "raw", "id")
