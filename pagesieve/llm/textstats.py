@@ -6,7 +6,7 @@ accuracy of every function is learnt without labels by expectation-maximization
 functions agree and disagree over all documents, and each document gets the posterior of the kinds.
 
 Documents with the same votes have the same posterior, so the corpus is aggregated to its vote patterns
-(at most ``3 ** len(FUNCTIONS)``, in practice some hundreds; the number is checked against ``MAX_PATTERNS``),
+(each function votes for its kind or is silent, so 20 functions have at most ``2 ** 20`` patterns; in practice there are some dozens),
 on which the algorithm runs on the driver; the posteriors go back by pattern.
 
 Defined results: null and empty texts have zero counts and kind 'junk' is never said of them, their kind is 'prose'
@@ -23,8 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.runtime import materialize
+
 KINDS = ("prose", "list", "table", "junk")
-MAX_PATTERNS = 200_000
+#: Most vote patterns there can be.
+MAX_PATTERNS = 1 << 20
 SLICE_BYTES = 24 << 20
 
 # The most common words of the four languages.
@@ -266,12 +269,8 @@ def text_statistics(docs: DataFrame, ident: str, text: str) -> DataFrame:
 def text_kinds(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, kind, probability, prose, list, table, junk): posterior text kinds of every row."""
     voted = text_statistics(docs, ident, text).select(ident, "votes")
-    from pagesieve.runtime import materialize
-
     voted = materialize(voted, "kinds")
-    rows = voted.groupBy("votes").count().limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} vote patterns")
+    rows = voted.groupBy("votes").count().collect()  # at most MAX_PATTERNS
     rows.sort(key=lambda r: r["votes"])
     if not rows:
         return voted.select(ident, F.lit("").alias("kind"), *[F.lit(0.0).alias(c) for c in ("probability", *KINDS)])
