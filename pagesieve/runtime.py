@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
@@ -20,13 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    own = getattr(spark, "_pagesieve_dir", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="pagesieve-")
-        spark._pagesieve_dir = own
-        atexit.register(shutil.rmtree, own, True)
-        own = spark._pagesieve_dir
-    return f"file://{own}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+    global _own_dir
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="pagesieve-")
+        atexit.register(shutil.rmtree, _own_dir, True)
+    return f"file://{_own_dir}"
 
 
 def _remove(spark: SparkSession, path: str) -> None:
