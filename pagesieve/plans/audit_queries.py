@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.operators import audit as A
+from pagesieve.plans.url_queries import host_sql
 from pagesieve.runtime import latest, table
 
 MEASURES = ["forms", "anchors", "hops", "text_length", "title_length", "score"]
@@ -216,3 +217,4 @@ SQL = {
     "agg_supervision": f"WITH {_ITEMS} SELECT split_part(item, '.', 1) AS kind, count(*) AS instances, count(DISTINCT item) AS ids FROM it GROUP BY 1",
     "agg_domain_errors": "SELECT registered_domain, count(*) AS n, sum(w)::BIGINT AS errors, round(avg(w), 6) AS error_rate FROM (SELECT registered_domain, coalesce(lower(predicted_verdict) <> lower(label), true)::INT AS w FROM predictions WHERE registered_domain IS NOT NULL) GROUP BY 1",
 }
+SQL["agg_ip_stats"] = rf"""WITH h AS (SELECT {host_sql('metadata.final_url')} AS h FROM page_docs) SELECT CASE WHEN h IS NULL OR h = '' THEN 'none' WHEN h LIKE '[%' OR regexp_matches(h, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') THEN 'address' ELSE 'name' END AS outcome, count(*) AS n FROM h GROUP BY 1"""

@@ -8,6 +8,7 @@ from pagesieve.operators import documents as D
 from pagesieve.operators import evaluation as E
 from pagesieve.operators.url_features import with_parts
 from pagesieve.plans.audit_queries import rows
+from pagesieve.plans.curation_queries import SQL as _CURATION_SQL
 from pagesieve.plans.url_queries import PARTS, pages, suffixes
 from pagesieve.runtime import latest, table
 
@@ -171,3 +172,11 @@ SQL = {
  SELECT round((SELECT sum(s) FROM j) / (c * (c - 1) / 2), 6) AS mean_similarity, round((SELECT count(DISTINCT e) FROM (SELECT a AS e FROM j WHERE s > 0.8 UNION ALL SELECT b FROM j WHERE s > 0.8)) / c, 6) AS template_rate FROM c""",
     "fn_similar_hosts": "WITH d AS (SELECT DISTINCT lower(registered_domain) AS d FROM grad_rows WHERE registered_domain <> '') SELECT d AS domain FROM d WHERE list_min(list_transform(['quillhost', 'brindlepages', 'formoak', 'shortleaf', 'cdnmarrow'], lambda k: levenshtein(split_part(d, '.', 1), k))) < 2",
 }
+_INFERRED = r"regexp_extract_all(lower(coalesce(generated_text, '')), 'verdict\W{0,6}(phishing|benign|legitimate|safe|malicious|suspicious|uncertain)', 1)[-1]"
+_SCORED = _CURATION_SQL["join_grounding"]
+SQL |= {
+    "sensitive_paths": "SELECT column_name AS path FROM (DESCRIBE observations) WHERE column_name IN ('label', 'target', 'verdict', 'class', 'is_phishing', 'ground_truth', 'y', 'result', 'prediction', 'score', 'malicious', 'phishing', 'benign', 'scan_verdict')",
+    "ev_resolve": f"WITH p AS (SELECT eval_idx, lower(predicted_verdict) AS v, {_INFERRED} AS i FROM predictions) SELECT eval_idx, coalesce(CASE WHEN v IN ('phishing', 'benign') THEN v END, CASE WHEN i IN ('phishing', 'malicious', 'suspicious') THEN 'phishing' WHEN i IN ('benign', 'legitimate', 'safe') THEN 'benign' WHEN i = 'uncertain' THEN 'uncertain' END, 'benign') AS verdict FROM p",
+    "aggregate_metrics": f"SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(missed), 6) AS missed, round(avg(extra), 6) AS extra FROM ({_SCORED})",
+    "ev_weighted_consistency": f"WITH p AS (SELECT lower(predicted_verdict) AS v, {_ITEMS('phishing risk factors')} AS a, {_ITEMS('benign mitigating factors')} AS b FROM predictions), w AS (SELECT v, coalesce(list_sum(list_transform(a, lambda x: CASE WHEN x = 'html.password_form' THEN 3 ELSE 1 END)), 0) AS r, coalesce(list_sum(list_transform(b, lambda x: CASE WHEN x = 'html.password_form' THEN 3 ELSE 1 END)), 0) AS g FROM p) SELECT round(avg((NOT coalesce((v = 'phishing' AND r = 0 AND g > 0) OR (v = 'benign' AND r >= g + 3), false))::INT), 6) AS consistent, count(*) AS answers FROM w",
+}
