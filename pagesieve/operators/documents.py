@@ -101,16 +101,50 @@ def json_paths(column: Column, names: tuple[str, ...] = SENSITIVE) -> Column:
     return F.pandas_udf(of, "array<string>")(column)
 
 
-def prune(input_column: str, items: int = 20, chars: int = 240) -> Column:
-    """The part of an observation that a model may see, as JSON without nulls: lists and texts are cut to fixed sizes."""
+def prune(input_column: str) -> Column:
+    """The part of an observation that a model may see, as JSON: every field with its own cap, empty addresses and texts and absent attributes left out.
+
+    Lists keep their null entries. Lists of records and of their inputs end after 20 entries also where the field's own cap is
+    higher (anchors), as each nested list does in the reference.
+    """
     c = lambda f: F.col(f"{input_column}.{f}")
-    cut = lambda t: F.nullif(collapse_ws(t, chars), F.lit(""))
-    some = lambda a: F.slice(F.filter(a, lambda x: x.isNotNull()), 1, items)
-    mask = lambda u: F.when(F.lower(u).startswith("data:"), F.lit("<data>")).otherwise(F.substring(u, 1, chars))
+    text = lambda f, chars: F.nullif(collapse_ws(c(f), chars), F.lit(""))
+    first = lambda a, n: F.slice(F.coalesce(a, F.array()), 1, min(n, 20))
+
+    def short(v: Column, chars: int) -> Column:
+        return F.when(v.startswith("data:"), F.concat(F.substring(v, 1, 48), F.lit("<data_uri_truncated>"))).when(v.isNotNull(), collapse_ws(v, chars))
+
+    def entries(a: Column, n: int, of) -> Column:
+        return F.transform(first(a, n), lambda x: F.when(x.isNotNull(), of(x)))
+
+    def texts(a: Column, n: int, chars: int) -> Column:
+        return F.transform(first(a, n), lambda x: short(x, chars))
+
+    def nested(a: Column, chars: int, of) -> Column:
+        return F.when(a.isNotNull(), F.transform(first(a, 20), lambda x: of(x, chars)))
+
+    def attributes(m: Column, chars: int) -> Column:
+        return F.transform_values(m, lambda _, v: short(v, chars))
+
+    def fields(names: str, chars: int):
+        return lambda x: F.struct(*[short(x[n], chars).alias(n) for n in names.split()])
+
+    def form(x: Column) -> Column:
+        own = [short(x[n], 240).alias(n) for n in ("method", "action", "name", "id", "text")]
+        return F.struct(*own, nested(x["inputs"], 240, attributes).alias("inputs"), nested(x["buttons"], 240, short).alias("buttons"))
+
+    def collection(name: str, n: int, of) -> Column:
+        items = c(f"{name}.items")
+        total = F.coalesce(c(f"{name}.total_observed"), F.size(F.coalesce(items, F.array())))
+        return F.struct(total.alias("total_observed"), entries(items, n, of).alias("items")).alias(name)
+
+    resources = {"favicon_hrefs": (10, 200), "script_src_sample": (20, 200), "stylesheet_href_sample": (20, 200), "image_src_sample": (10, 120)}
     return F.to_json(F.struct(
-        mask(c("url")).alias("url"), mask(c("final_url")).alias("final_url"), cut(c("title")).alias("title"), cut(c("visible_text")).alias("visible_text"),
-        F.transform(some(c("anchors.items")), lambda a: F.struct(cut(a["text"]).alias("text"), mask(a["href"]).alias("href"))).alias("anchors"),
-        F.transform(some(c("forms.items")), lambda f: F.struct(f["method"].alias("method"), mask(f["action"]).alias("action"), F.size(F.coalesce(f["inputs"], F.array().cast("array<map<string,string>>"))).alias("inputs"))).alias("forms"),
+        text("url", 1000).alias("url"), text("final_url", 1000).alias("final_url"),
+        entries(c("redirects"), 10, lambda x: F.struct(x["status_code"].alias("status_code"), short(x["url"], 240).alias("url"))).alias("redirects"),
+        text("title", 300).alias("title"), entries(c("meta"), 20, lambda x: attributes(x, 240)).alias("meta"), text("visible_text", 2500).alias("visible_text"),
+        collection("forms", 20, form), collection("anchors", 30, fields("text href title aria_label", 200)), collection("iframes", 10, fields("src name id title width height style", 200)),
+        F.struct(*[texts(c(f"resources.{f}"), n, chars).alias(f) for f, (n, chars) in resources.items()]).alias("resources"),
     ), {"ignoreNullFields": "true"})
 
 
