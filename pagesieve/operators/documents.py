@@ -13,6 +13,8 @@ from pagesieve.functions.text import collapse_ws, first_non_empty
 
 # Names of fields that give the label away.
 SENSITIVE = ("label", "target", "verdict", "class", "is_phishing", "ground_truth", "y", "result", "prediction", "score", "malicious", "phishing", "benign", "scan_verdict")
+# Parts of names of fields that hold registration data or reputation.
+BANNED = ("rdap", "whois", "registered_domain", "domain_age", "domain_registration", "domain_reputation", "registrar", "registrant", "creation_date", "expiration_date")
 
 
 def normalize_document(df: DataFrame) -> DataFrame:
@@ -70,31 +72,41 @@ def schema_paths(schema: DataType, names: tuple[str, ...] = SENSITIVE, exact: bo
     return out
 
 
-def json_paths(column: Column, names: tuple[str, ...] = SENSITIVE) -> Column:
-    """Paths of listed keys in free JSON texts."""
+def json_paths(column: Column, names: tuple[str, ...] = SENSITIVE, exact: bool = True, entries: int | None = 100) -> Column:
+    """Paths of keys in free JSON texts (also in texts encoded twice) that are listed, or contain a listed name when runs of other signs than letters and digits count as one underline.
+
+    Of each list the first ``entries`` are walked, with None all.
+    """
     import pandas as pd
 
     wanted = set(names)
 
-    def walk(v, path, out):
-        if isinstance(v, dict):
-            for k, x in v.items():
-                if k.lower() in wanted:
-                    out.append(f"{path}.{k}".lstrip("."))
-                walk(x, f"{path}.{k}", out)
-        elif isinstance(v, list):
-            for i, x in enumerate(v[:100]):
-                walk(x, f"{path}[{i}]", out)
+    def hit(key):
+        if exact:
+            return key.lower() in wanted
+        key = re.sub(r"[^a-z0-9]+", "_", key.lower()).strip("_")
+        return any(n in key for n in names)
+
+    def walk(v):
+        out, todo = [], [(v, "", False)]
+        while todo:
+            v, path, found = todo.pop()
+            if found:
+                out.append(path)
+            if isinstance(v, dict):
+                todo += [(x, f"{path}.{k}" if path else k, hit(k)) for k, x in reversed(v.items())]
+            elif isinstance(v, list):
+                todo += [(x, f"{path}[{i}]", False) for i, x in reversed([*enumerate(v[:entries])])]
+        return out
 
     def of(texts):
         rows = []
         for t in texts:
-            found: list[str] = []
             try:
-                walk(json.loads(t), "", found)
+                v = json.loads(t)
+                rows.append(walk(json.loads(v) if isinstance(v, str) else v))
             except (TypeError, ValueError, RecursionError):
-                pass
-            rows.append(found)
+                rows.append([])
         return pd.Series(rows)
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.Series}

@@ -46,9 +46,10 @@ def sensitive_paths(spark, sf_dir):
 
 
 def banned_paths(spark, sf_dir):
-    """Paths of label-like keys in raw lines, with the number of lines."""
-    r = table(spark, sf_dir, "raw_records").select(F.explode(F.array_distinct(D.json_paths(F.col("payload")))).alias("path"))
-    return r.groupBy(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path")).agg(F.count("*").alias("n"))
+    """Paths of keys in raw lines that speak of registration data or reputation, with the number of lines."""
+    found = D.json_paths(F.col("payload"), D.BANNED, exact=False, entries=None)
+    r = table(spark, sf_dir, "raw_records").select(F.explode(F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, r"\[\d+\]", "[]")))).alias("path"))
+    return r.groupBy("path").agg(F.count("*").alias("n"))
 
 
 def prune_input(spark, sf_dir):

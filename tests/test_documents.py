@@ -50,3 +50,19 @@ def test_prune_keeps_every_field_to_its_own_cap(spark):
     nothing = {"redirects": [], "meta": [], "resources": {"favicon_hrefs": [], "script_src_sample": [], "stylesheet_href_sample": [], "image_src_sample": []}} | {k: {"total_observed": 0, "items": []} for k in ("forms", "anchors", "iframes")}
     assert got[2] == nothing | {"anchors": {"total_observed": 3, "items": []}}
     assert got[3] == nothing
+
+
+def test_banned_paths_by_part_of_the_name_in_whole_lists(spark, tmp_path):
+    from pagesieve.plans.document_queries import banned_paths
+
+    deep = [{"href": "/"}] * 150 + [{"WHOIS Server": 1}, {"whois-server": 1}]
+    lines = [{"rdap_events": [{"x": 1}], "input": {"whois.registrar": {"Creation-Date": 1}}, "label": 1, "rd ap": 1}, {"anchors": deep}, [{"domainAge": 1, "domain__age": 1}, {"a": [[{"Domain Age (days)": None}]]}]]
+    texts = [json.dumps(x) for x in lines] + [json.dumps(json.dumps(lines[0])), '{"rdap": 1', None, '"rdap"', "[" * 900 + '{"registrant": 1}' + "]" * 900]
+    spark.createDataFrame([(t,) for t in texts], "payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    got = {r["path"]: r["n"] for r in banned_paths(spark, tmp_path).collect()}
+    assert got == {
+        "rdap_events": 2, "input.whois.registrar": 2, "input.whois.registrar.Creation-Date": 2, "anchors[].WHOIS Server": 1, "anchors[].whois-server": 1, "[].domain__age": 1, "[].a[][].Domain Age (days)": 1, "[]" * 900 + ".registrant": 1,
+    }
+    twice = spark.createDataFrame([(json.dumps({"a": [{"rdap": 1}, {"rdap": 2}]}),)], "payload string")
+    twice.write.parquet(f"{tmp_path}/b/raw_records.parquet")
+    assert [tuple(r) for r in banned_paths(spark, f"{tmp_path}/b").collect()] == [("a[].rdap", 1)]
