@@ -9,6 +9,12 @@ the share of words in common in the same order (longest common subsequence), at
 whose end is cut off is compared with the beginning of the other; to find those, a second set of bands covers
 the first ``HEAD`` words.
 
+Bands miss pairs with scattered changes and short cut-off texts, so an exact path stands beside them: of
+the counted words of the shorter text at most one in five may be missing in the other, or in as much of
+its beginning. Counted words are hashed to bitmaps, one for each doubling of ``SHORTEST`` words up to the text's own length, and bits that are
+set in the one and not in the other are at most as many as missing words; so no pair over ``SHARE`` is lost, whatever collides.
+Blocks of ``BLOCK`` classes are compared with each other, every one of the training split with every one of the others.
+
 Defined results: rows without a split are left out; null or empty texts have no class and match by address
 only; null or empty addresses match by text only; repeated rows count once; texts of any length are
 read whole.
@@ -26,9 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.runtime import materialize
+from pagesieve.runtime import materialize, spread
 
 SHINGLE, BANDS, ROWS, HEAD, HEAD_BANDS = 5, 32, 3, 48, 16
+#: Classes and bytes of text in a block (a single long text is a block of its own); length in words up to which the first and shortest bitmaps are used, each next length is twice as long.
+BLOCK, BLOCK_BYTES, SHORTEST = 2048, 8 << 20, 32
 #: Least share of words in common in the same order.
 SHARE = 0.8
 #: Lines of a text that name its address.
@@ -111,6 +119,108 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, keys.shape[1], dtype=np.int32)), flat)], names=["cls", "bands"])
 
 
+def _levels(longest: int) -> Iterator[tuple[int, int, int]]:
+    """Lengths of texts over and up to which a level stands, and the 64-bit words of its bitmaps."""
+    low, high = 0, SHORTEST
+    while True:
+        yield low, high, max(8, high // 16)
+        if longest <= high:
+            return
+        low, high = high, 2 * high
+
+
+def _bitmaps(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Words of each text, and the bitmaps of all levels: of a level, those of the texts longer than its lower length.
+
+    A bitmap holds the counted words (a word and which of its occurrences it is) of the first five fourths of the level's upper length:
+    a shorter text of that level is whole in it, and so is a longer one with which it can have ``SHARE`` of all words in common.
+    """
+    lists = pc.split_pattern(texts, pattern=" ")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    table = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
+    key = text * len(table) + code
+    order = np.argsort(key, kind="stable")
+    first = np.concatenate([[True], np.diff(key[order]) != 0])
+    nth = np.empty(len(code), np.int64)
+    nth[order] = np.arange(len(code)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    h = (table[code] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    out = []
+    for low, high, width in _levels(int(counts.max())):
+        rows = np.flatnonzero(counts > low)
+        row_of = np.full(len(counts), -1)
+        row_of[rows] = np.arange(len(rows))
+        used = (place < high + high // 4) & (row_of[text] >= 0)
+        bits = np.zeros((len(rows), 64 * width), bool)
+        bits[row_of[text[used]], (h[used] % np.uint64(64 * width)).astype(np.int64)] = True
+        out.append(np.packbits(bits, axis=1).tobytes())
+    return counts, b"".join(out)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes = np.cumsum(pc.binary_length(b.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BLOCK_BYTES, "right"))
+            part = b.slice(start, max(1, min(end - start, BLOCK)))
+            start += part.num_rows
+            counts, bits = _bitmaps(part.column("words"))
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("cls").to_pylist()], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([bits], pa.binary())], names=["cls", "n", "bits"])
+
+
+def _unpacked(n: np.ndarray, bits: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each level the texts that have a bitmap, and their bitmaps."""
+    at = 0
+    for low, _, width in _levels(int(n.max())):
+        rows = np.flatnonzero(n > low)
+        yield rows, np.frombuffer(bits, np.uint64, len(rows) * width, at).reshape(len(rows), width)
+        at += len(rows) * width * 8
+
+
+def _may_share(n_a: np.ndarray, bits_a: bytes, n_b: np.ndarray, bits_b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of two blocks of which the shorter text may have ``SHARE`` of its words in the other."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for (low, high, _), (rows_a, a), (rows_b, b) in zip(_levels(1 << 62), _unpacked(n_a, bits_a), _unpacked(n_b, bits_b)):
+        # bits in common that a text of this level needs; longer ones are judged by the other text alone
+        least_a, least_b = (np.where(n[rows] <= high, np.bitwise_count(x).sum(axis=1, dtype=np.int64) - np.floor((1 - SHARE) * n[rows] + 1e-6).astype(np.int64), 1 << 30).astype(np.int32) for n, rows, x in ((n_a, rows_a, a), (n_b, rows_b, b)))
+        own = least_a < 1 << 30
+        for rows_x, x, least_x, rows_y, y, least_y, swap in ((rows_a[own], a[own], least_a[own], rows_b, b, least_b, False), (rows_b[least_b < 1 << 30], b[least_b < 1 << 30], least_b[least_b < 1 << 30], rows_a[~own], a[~own], least_a[~own], True)):
+            columns = np.ascontiguousarray(y.T)
+            for start in range(0, len(rows_x), 32):
+                part = x[start : start + 32]
+                common = np.zeros((len(part), len(rows_y)), np.uint16 if part.shape[1] < 1024 else np.int32)
+                for k in range(part.shape[1]):
+                    common += np.bitwise_count(part[:, k, None] & columns[k])
+                i, j = np.nonzero(common >= np.minimum(least_x[start : start + 32, None], least_y))
+                i, j = rows_x[start + i], rows_y[j]
+                found.append((j, i) if swap else (i, j))
+    return tuple(np.concatenate(side) for side in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for r in range(whole.num_rows):
+            b = whole.slice(r, 1)
+            n_a, n_b = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            i, j = _may_share(n_a, b.column("bits_a")[0].as_py(), n_b, b.column("bits_b")[0].as_py())
+            yield pa.RecordBatch.from_arrays([b.column("cls_a").flatten().take(pa.array(i)), b.column("cls_b").flatten().take(pa.array(j))], names=["train_cls", "eval_cls"])
+
+
+def exact_candidates(classes: DataFrame) -> DataFrame:
+    """train_cls, eval_cls: every pair that can have ``SHARE`` of the words in common, and some that have not."""
+    def blocks(side: str, p: str) -> DataFrame:
+        packed = materialize(classes.where(side).select("cls", "words").mapInArrow(_blocks, "cls array<string>, n array<bigint>, bits binary"), "overlap")
+        return packed.select(*[F.col(c).alias(f"{c}_{p}") for c in ("cls", "n", "bits")])
+
+    pairs = spread(blocks("in_train", "a")).crossJoin(blocks("in_eval", "b"))
+    return pairs.mapInArrow(_compared, "train_cls string, eval_cls string").where(F.col("train_cls") != F.col("eval_cls"))
+
+
 def common_in_order(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, by bits: one step a word of ``b``."""
     places: dict[str, int] = {}
@@ -161,7 +271,7 @@ def split_overlaps(df: DataFrame, ident: str, split: str, url: str, text: str, s
     bands = bands.select("cls", "in_train", "in_eval", F.explode("bands").alias("band"))
     left = bands.where("in_train").select(F.col("cls").alias("train_cls"), "band")
     right = bands.where("in_eval").select(F.col("cls").alias("eval_cls"), "band")
-    candidates = left.join(right, "band").where(F.col("train_cls") != F.col("eval_cls")).select("train_cls", "eval_cls").distinct()
+    candidates = left.join(right, "band").where(F.col("train_cls") != F.col("eval_cls")).select("train_cls", "eval_cls").unionByName(exact_candidates(classes)).distinct()
     texts = classes.select("cls", "words")
     checked = candidates.join(texts.select(F.col("cls").alias("train_cls"), F.col("words").alias("words_a")), "train_cls").join(texts.select(F.col("cls").alias("eval_cls"), F.col("words").alias("words_b")), "eval_cls")
     near = checked.mapInArrow(_verify, "train_cls string, eval_cls string, share double, jaccard double").where(F.col("share") >= SHARE)

@@ -69,3 +69,37 @@ def test_edges(spark):
     long = " ".join(str(k) for k in range(30_000))
     rows = [("1", "train", None, long, "s", "", 0), ("2", "test", None, long + " more", "s", "", 0)]
     assert O.split_overlaps(spark.createDataFrame(rows, SCHEMA), "id", "split", "url", "clean_text", "source").count() == 1
+
+
+def test_scattered_changes_and_short_cut_off_texts_are_all_found(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [[rng.choice(vocabulary) for _ in range(n)] for n in (25, 60, 120, 150, 300, 700) for _ in range(5)]
+    rows = []
+    for k, t in enumerate(texts):
+        rows.append((f"t{k:03d}", "train", t))
+        for v in range(6):
+            n = [len(t), len(t), len(t) * 2 // 3, 20, 12, 5][v]
+            c = t[:n]
+            for j in rng.sample(range(n), int(n * rng.choice([0.1, 0.15, 0.19]))):  # single words, far apart
+                c[j] = rng.choice([rng.choice(vocabulary), "", "x y"])
+            rows.append((f"e{k:03d}{v}", "train" if (k + v) % 5 == 0 else "val", " ".join(c).split()))
+    df = spark.createDataFrame([(i, s, None, " ".join(w), "s", "", 0) for i, s, w in rows], SCHEMA)
+    got = {(r["train_id"], r["eval_id"]) for r in O.split_overlaps(df, "id", "split", "url", "clean_text", "source").collect()}
+    want = {(a, b) for a, s, x in rows for b, t, y in rows if s == "train" != t and O.share_in_common(x, y) >= O.SHARE}
+    assert got == want
+    assert len(want) > 100
+
+
+def test_long_texts_keep_to_their_own_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(O, "BLOCK_BYTES", 2000)
+    long = " ".join(str(k) for k in range(70_000))
+    texts = ["a b c", long, "a b c d", " ".join(str(k) for k in range(20))]
+    blocks = [(b.column("n")[0].as_py(), b.column("bits")[0].as_py()) for b in O._blocks([pa.record_batch([pa.array(list("wxyz")), pa.array(texts)], names=["cls", "words"])])]
+    assert [n for n, _ in blocks] == [[3], [70_000], [4, 20]]
+    import numpy as np
+
+    same = [[[x.tolist() for x in O._may_share(np.array(n), b, np.array(m), c)] for m, c in blocks] for n, b in blocks]
+    assert same[1][1] == [[0], [0]] and same[1][2] == [[0], [1]] and same[2][1] == [[1], [0]] and same[0][2] == [[0], [0]] and same[0][1] == [[], []]
