@@ -10,12 +10,14 @@ Two kinds of records hold no content of their own and are found here:
 **Slots.** Sentences are aligned by the words next to a candidate (two to the left, two to the
 right, names and numbers masked). A context in which written-out placeholders of any
 syntax appear in at least ``MIN_SUPPORT`` records, not as quoted examples, is an induced
-slot. A bare program value (``null``, ``undefined``, ``NaN`` ...), an unknown syntax or a
-blank counts where it stands in an induced slot; a placeholder in a known syntax counts
-wherever it is not an example. The contexts are aggregated over all records.
+slot. A bare program value (``null``, ``undefined``, ``NaN`` ...), a name in an unlisted syntax or a
+blank that shows (before a comma or full stop, or doubled) counts where it stands in an induced slot; a placeholder in a known syntax counts
+wherever it is not an example. The contexts are aggregated over all records. Slots that never hold a listed syntax are not
+induced, and a blank that left no trace is not seen.
 
 **Whole pages.** A record with a message, a notice or filler is flagged if next to no sentences of its own
-remain when menus, consent and legal lines are set aside.
+remain when menus, consent and legal lines are set aside. Messages, notices and filler are told by fixed lists
+(English, German, French, Spanish); repetition over records is not counted.
 
 Defined results: null title and text count as ''; empty texts are never flagged; records repeated under an id count by
 their latest ``captured_at``; texts of any length are read whole.
@@ -71,6 +73,11 @@ SYNTAXES = (
 BARE = r"(?:undefined|null|NULL|NaN|None|nil|N/A)(?: (?:undefined|null|NULL|NaN|None|nil))?"
 PLACEHOLDER = "|".join(SYNTAXES)
 CANDIDATE = re.compile(rf"({PLACEHOLDER})|(?<![\w./-])({BARE})(?![\w/-])")
+# What may stand in a slot and counts only there: a name within signs of an unlisted syntax or with underlines, and the blank that a value left behind.
+_SIGNS = r"{}\[\]<>|~^#@=*_§¤¬¦°$%&+\\¿¡"
+ODD = rf"(?<!\w)[{_SIGNS}][{_SIGNS}:!?]{{0,2}}[A-Za-z_][\w.-]*(?: [\w.-]+){{0,3}}[{_SIGNS}:!?]{{0,2}}[{_SIGNS}](?!\w)|(?<![\w./@-])(?:\$?[A-Za-z]+(?:_[A-Za-z]+)+|\$[A-Za-z]\w*)(?![\w/@-])"
+BLANK = r"(?<=[^\W\d_])[ \xa0]+(?=[,.](?:\s|$))|(?<=:)[ \xa0]+(?=[,.](?:\s|$))|(?<=[^\W\d_])[ \xa0]{2,}(?=[^\W\d_])"
+LOOSE = re.compile(rf"({ODD})|{BLANK}")
 # Words with which a text speaks about templates instead of being one.
 ABOUT = re.compile(
     r"\b(?:markers?|placeholders?|templates?|variables?|syntax|code sample|sample code|example|mail ?merge|mailer|export|"
@@ -197,6 +204,7 @@ _MESSAGE_WORDS = (
 )
 _GATES = (_MESSAGE_WORDS, _gate(NOTICES.pattern), _gate(FILLER.pattern), _gate(LATIN_CORE.pattern))
 _PLACE_GATE = f"{PLACEHOLDER}|{BARE}"
+_LOOSE_GATE = rf"[{_SIGNS}][:!?]{{0,2}}[A-Za-z_]|[A-Za-z]_[A-Za-z]|[\pL:][ \x{{a0}}]+[,.](?:\s|$)|\pL[ \x{{a0}}][ \x{{a0}}]+\pL"
 
 
 def _mask(words: list[str]) -> str:
@@ -219,10 +227,16 @@ def _context(text: str, start: int, end: int, title: bool) -> tuple[str, bool, s
 
 
 def residue_hits(title: str, text: str) -> list[tuple[str, str, bool, bool]]:
-    """Candidates of one record: (kind, context, example?, certain?). Kinds: var, bare."""
+    """Candidates of one record: (kind, context, example?, certain?). Kinds: var, bare, odd, blank."""
     hits: list[tuple[str, str, bool, bool]] = []
     for is_title, s in ((True, title), (False, text)):
-        for m in CANDIDATE.finditer(s):
+        taken = [*CANDIDATE.finditer(s)]
+        loose = [m for m in LOOSE.finditer(s) if not any(m.start() < t.end() and t.start() < m.end() for t in taken)]
+        for m in loose:
+            context, quoted, left, right = _context(s, m.start(), m.end(), is_title)
+            about = quoted or bool(ABOUT.search(CANDIDATE.sub(" ", left[-120:] + " | " + right[:120])))
+            hits.append(("odd" if m.group(1) else "blank", context, about, False))
+        for m in taken:
             context, quoted, left, right = _context(s, m.start(), m.end(), is_title)
             about = quoted or bool(ABOUT.search(CANDIDATE.sub(" ", left[-120:] + " | " + right[:120])))
             if m.group(1):
@@ -296,7 +310,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, hits = [], []
             for i in np.flatnonzero(whole_pages(titles, texts)):
                 at.append(int(i)), hits.append(("page", "", False, True))
-            gate = _match(titles, _PLACE_GATE, False) | _match(texts, _PLACE_GATE, False)
+            gate = _match(titles, _PLACE_GATE, False) | _match(texts, _PLACE_GATE, False) | _match(titles, _LOOSE_GATE, False) | _match(texts, _LOOSE_GATE, False)
             for i in np.flatnonzero(gate):
                 for hit in residue_hits(titles[i].as_py(), texts[i].as_py()):
                     at.append(int(i)), hits.append(hit)
@@ -314,5 +328,5 @@ def template_residue(df: DataFrame, id_col: str, title_col: str, text_col: str,
     hits = hits.join(last, ["id", "at"], "left_semi")
     # contexts, aligned over all records: where placeholders that are no examples stand in several records is a slot
     slots = hits.where((F.col("kind") == "var") & ~F.col("example")).groupBy("context").agg(F.countDistinct("id").alias("support")).where(F.col("support") >= MIN_SUPPORT)
-    flagged = hits.join(slots, "context", "left").where(F.col("certain") | (F.col("support").isNotNull() & ~F.col("example") & (F.col("kind") == "bare")))
+    flagged = hits.join(slots, "context", "left").where(F.col("certain") | (F.col("support").isNotNull() & ~F.col("example") & (F.col("kind") != "var")))
     return flagged.groupBy("id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

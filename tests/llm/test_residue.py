@@ -42,3 +42,16 @@ def test_edges(spark):
     assert _found(spark, [("a", None, "Error 404. The page was not found.", 0), ("a", None, PROSE, 3), ("b", None, PROSE, 0), ("b", None, "Error 404. The page was not found.", 3)]) == {"b"}
     assert _found(spark, [("l", None, PROSE * 2000 + " Hola {{x}}, adios.", 0)]) == {"l"}
     assert R.template_residue(spark.createDataFrame([], SCHEMA), "id", "title", "visible_text", ["captured_at", "ingested_at"]).count() == 0
+
+
+@pytest.mark.parametrize("filler, found", [("", True), ("§NAME§", True), ("<:first name:>", True), ("first_name", True), ("$name", True), ("¿name?", False), ("Anna", False), ("'§NAME§'", False)])
+def test_blanks_and_unlisted_syntaxes_in_slots(spark, filler, found):
+    rows = [("a", None, f"{PROSE} Dear {{{{x}}}}, your parcel is ready.", 0), ("b", None, f"{PROSE} Dear %%Y%%, your parcel is ready.", 0), ("c", None, f"{PROSE} Dear {filler}, your parcel is ready.", 0)]
+    # the same where no placeholder makes a slot
+    rows += [("d", None, f"{PROSE} We ship {filler}, which pleases every customer.", 0)]
+    assert _found(spark, rows) == ({"a", "b", "c"} if found else {"a", "b"})
+
+
+def test_doubled_blank_in_a_slot(spark):
+    rows = [("a", None, f"{PROSE} Write to {{{{x}}}} at any time.", 0), ("b", None, f"{PROSE} Write to %%Y%% at any time.", 0), ("c", None, f"{PROSE} Write to  at any time.", 0), ("d", None, f"{PROSE} Write  it at any time.", 0)]
+    assert _found(spark, rows) == {"a", "b", "c"}
