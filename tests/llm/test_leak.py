@@ -50,6 +50,56 @@ def test_like_brute_force(spark):
     assert K.without_leaks(df, "doc_id", K.leaked_passages(df, "doc_id", "text", held, "item_id", "text")).count() == len(docs) - len({n for n, _ in want})
 
 
+def test_evenly_spaced_changes_and_places(spark):
+    rng = random.Random(8)
+    assert K.SEED == 7
+    rows, held, want = [], [], {}
+    for k, n in enumerate(range(24, 201, 2)):
+        item = [f"i{k}x{j}" for j in range(n + 6)]
+        held.append((k, " ".join(item)))
+        c = n // 10
+        for v, put in enumerate((lambda w: ["other"], lambda w: ["two-part", "x"][:1], lambda w: [])):
+            part = item[3 : 3 + n]
+            at = {round((j + 1) * (n + 1) / (c + 1)) - 1 for j in range(c)}
+            changed = [x for j, w in enumerate(part) for x in ([w] if j not in at else put(w) or ["..."])]
+            before = _text(rng, rng.randrange(20))
+            rows.append((1000 * v + k, " ".join(before + changed + _text(rng, 5)), 0))
+            if v < 2:  # a word left out is no changed word
+                want[1000 * v + k, k] = (n, 3, len(before))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, item int")
+    items = spark.createDataFrame(held, "item_id bigint, text string")
+    for part_words in (K.PART_WORDS, 3000):  # in one part and in several
+        out = K.leaked_passages(df, "doc_id", "text", items, "item_id", "text", part_words).collect()
+        got = {(r["doc_id"], r["item_id"]): (r["words"], r["item_from"], r["doc_from"]) for r in out if r["doc_id"] < 2000}
+        assert got == want
+        assert all(r["verbatim"] >= K.SEED for r in out)
+
+
+def test_repeated_words_stay_bounded():
+    # every word alike: places pair with places, but only left ends of runs are followed
+    s = K.Searcher([(1, "a " * 3000)])
+    found = list(s.shard(pa.array([7]), pa.array(["a " * 4000])))
+    assert [(f[0], f[1], f[2]) for f in found] == [(7, 1, 3000)]
+
+
+def test_longest_match_is_found_by_search():
+    rng = random.Random(9)
+    item, doc = [_text(rng, 300) for _ in range(2)]
+    doc[50:90] = item[100:140]
+    s = K.Searcher([(1, " ".join(item))])
+    known, word, counts, _ = K._tokens(pa.array([" ".join(doc)]), s.code)
+    docs = K._Words(known, word, counts)
+    runs = [(int(a), int(b), int(n)) for q, p, n in s.matches(known, docs.left) for a, b, n in zip(q, p, n)]
+    want = []
+    for a in range(300):
+        for b in range(300):
+            if item[a] == doc[b] and not (a and b and item[a - 1] == doc[b - 1]):
+                n = next((k for k in range(300 - max(a, b)) if item[a + k] != doc[b + k]), 300 - max(a, b))
+                if n >= K.SEED:
+                    want.append((a, b, n))
+    assert sorted(runs) == sorted(want) and max(n for *_, n in want) >= 40
+
+
 def test_spelling_does_not_matter(spark):
     rng = random.Random(6)
     item = [f"Größe{k}" for k in range(30)]
