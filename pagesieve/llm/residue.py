@@ -8,16 +8,19 @@ Two kinds of records hold no content of their own and are found here:
   message, a bare server listing or a notice that scripts are needed.
 
 **Slots.** Sentences are aligned by the words next to a candidate (two to the left, two to the
-right, names and numbers masked). A context in which written-out placeholders of any
-syntax appear in at least ``MIN_SUPPORT`` records, not as quoted examples, is an induced
-slot. A bare program value (``null``, ``undefined``, ``NaN`` ...), a name in an unlisted syntax or a
-blank that shows (before a comma or full stop, or doubled) counts where it stands in an induced slot; a placeholder in a known syntax counts
-wherever it is not an example. The contexts are aggregated over all records. Slots that never hold a listed syntax are not
-induced, and a blank that left no trace is not seen.
+right, names and numbers masked). Two things make such a context an induced slot: written-out placeholders
+in a known syntax, not quoted as examples, in at least ``MIN_SUPPORT`` records; or varying
+fillers, at least ``MIN_FILLERS`` different ones in ``MIN_RECORDS`` records, which a second scan finds in all records.
+A bare program value (``null``, ``undefined``, ``NaN`` ...), a name in an unlisted syntax, a default (``Customer Name``), a line left
+to fill in, or a blank that shows (before a comma or full stop, or doubled) counts where it stands in an induced slot;
+a placeholder in a known syntax counts wherever it is not an example. A blank that left no trace is not seen.
 
-**Whole pages.** A record with a message, a notice or filler is flagged if next to no sentences of its own
-remain when menus, consent and legal lines are set aside. Messages, notices and filler are told by fixed lists
-(English, German, French, Spanish); repetition over records is not counted.
+**Whole pages.** Records with next to no sentences of their own are aligned by runs of ``RUN`` words (names and numbers
+masked). A run that repeats in ``MIN_PAGES`` different texts of such records, and hardly ever in records with content, is part of
+a whole-page template (an error, a notice, filler), in whatever language; menus, consent and legal lines repeat on pages
+with content as well and so are none. Messages too rare to repeat are told by fixed lists (English, German, French, Spanish).
+
+Neither contexts nor runs are collected: what the second scan looks for is sent out as bitmaps of fixed size, what it finds is joined exactly.
 
 Defined results: null title and text count as ''; empty texts are never flagged; records repeated under an id count by
 their latest ``captured_at``; texts of any length are read whole.
@@ -31,11 +34,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Records in which a context must hold placeholders to count as a slot.
-MIN_SUPPORT = 2
+from pagesieve.runtime import materialize, spread
+
+#: Records in which a context must hold placeholders to count as a slot; or different fillers and records that hold them.
+MIN_SUPPORT, MIN_FILLERS, MIN_RECORDS = 2, 3, 4
+#: Words of a run, different texts of records without content in which it must repeat, and most of its records that may have content.
+RUN, MIN_PAGES, WITH_CONTENT = 5, 5, 0.1
+#: Most words of a filler, and bits of a bitmap.
+FILLER_WORDS, BITMAP = 3, 1 << 20
 #: A page with more words in sentences of its own than this has content beside a message.
 OWN_WORDS = 60
 #: Bytes of text looked at together.
@@ -76,8 +86,9 @@ CANDIDATE = re.compile(rf"({PLACEHOLDER})|(?<![\w./-])({BARE})(?![\w/-])")
 # What may stand in a slot and counts only there: a name within signs of an unlisted syntax or with underlines, and the blank that a value left behind.
 _SIGNS = r"{}\[\]<>|~^#@=*_§¤¬¦°$%&+\\¿¡"
 ODD = rf"(?<!\w)[{_SIGNS}][{_SIGNS}:!?]{{0,2}}[A-Za-z_][\w.-]*(?: [\w.-]+){{0,3}}[{_SIGNS}:!?]{{0,2}}[{_SIGNS}](?!\w)|(?<![\w./@-])(?:\$?[A-Za-z]+(?:_[A-Za-z]+)+|\$[A-Za-z]\w*)(?![\w/@-])"
+DEFAULT = r"(?<![\w-])(?:(?:Your|First|Last|Full|Customer|Client|User|Recipient|Company|Product|Order|Account|City|Street) )(?:Name|Number|City|Address|Date|Email|Amount|Link|Title|Text)(?![\w-])|(?<!\w)_{3,}(?!\w)|(?<!\w)\.{5,}(?!\w)"
 BLANK = r"(?<=[^\W\d_])[ \xa0]+(?=[,.](?:\s|$))|(?<=:)[ \xa0]+(?=[,.](?:\s|$))|(?<=[^\W\d_])[ \xa0]{2,}(?=[^\W\d_])"
-LOOSE = re.compile(rf"({ODD})|{BLANK}")
+LOOSE = re.compile(rf"({ODD})|({DEFAULT})|{BLANK}")
 # Words with which a text speaks about templates instead of being one.
 ABOUT = re.compile(
     r"\b(?:markers?|placeholders?|templates?|variables?|syntax|code sample|sample code|example|mail ?merge|mailer|export|"
@@ -204,16 +215,27 @@ _MESSAGE_WORDS = (
 )
 _GATES = (_MESSAGE_WORDS, _gate(NOTICES.pattern), _gate(FILLER.pattern), _gate(LATIN_CORE.pattern))
 _PLACE_GATE = f"{PLACEHOLDER}|{BARE}"
-_LOOSE_GATE = rf"[{_SIGNS}][:!?]{{0,2}}[A-Za-z_]|[A-Za-z]_[A-Za-z]|[\pL:][ \x{{a0}}]+[,.](?:\s|$)|\pL[ \x{{a0}}][ \x{{a0}}]+\pL"
+_LOOSE_GATE = rf"[{_SIGNS}][:!?]{{0,2}}[A-Za-z_]|[A-Za-z]_[A-Za-z]|[\pL:][ \x{{a0}}]+[,.](?:\s|$)|\pL[ \x{{a0}}][ \x{{a0}}]+\pL|[a-z] (?:Name|Number|City|Address|Date|Email|Amount|Link|Title|Text)|_{{3,}}|\.{{5,}}"
 
 
 def _mask(words: list[str]) -> str:
     return " ".join(NAME.sub("*", w) if w[:1].isupper() or w[:1].isdigit() else w for w in words).casefold()
 
 
+def _sentence_around(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands before and behind a place in its sentence, however long that is."""
+    width = 256
+    while True:
+        before = SENTENCE.split(text[max(0, start - width) : start])
+        if len(before) > 1 or width >= start:
+            break
+        width *= 4
+    behind = SENTENCE.search(text, end)
+    return before[-1], text[end : behind.start() if behind else len(text)]
+
+
 def _context(text: str, start: int, end: int, title: bool) -> tuple[str, bool, str, str]:
-    left = SENTENCE.split(text[max(0, start - 200) : start])[-1]
-    right = SENTENCE.split(text[end : end + 200])[0]
+    left, right = _sentence_around(text, start, end)
     quoted = left[-1:] in QUOTES and left[-1:] != "" and right[:1] in QUOTES and right[:1] != ""
     strip = "".join(QUOTES) + " "
     lw, rw = left.rstrip(strip).split()[-2:], right.lstrip(strip).split()[:2]
@@ -234,11 +256,11 @@ def residue_hits(title: str, text: str) -> list[tuple[str, str, bool, bool]]:
         loose = [m for m in LOOSE.finditer(s) if not any(m.start() < t.end() and t.start() < m.end() for t in taken)]
         for m in loose:
             context, quoted, left, right = _context(s, m.start(), m.end(), is_title)
-            about = quoted or bool(ABOUT.search(CANDIDATE.sub(" ", left[-120:] + " | " + right[:120])))
-            hits.append(("odd" if m.group(1) else "blank", context, about, False))
+            about = quoted or bool(ABOUT.search(CANDIDATE.sub(" ", left + " | " + right)))
+            hits.append(("odd" if m.group(1) else "default" if m.group(2) else "blank", context, about, False))
         for m in taken:
             context, quoted, left, right = _context(s, m.start(), m.end(), is_title)
-            about = quoted or bool(ABOUT.search(CANDIDATE.sub(" ", left[-120:] + " | " + right[:120])))
+            about = quoted or bool(ABOUT.search(CANDIDATE.sub(" ", left + " | " + right)))
             if m.group(1):
                 hits.append(("var", context, about, not about))
             else:
@@ -253,13 +275,16 @@ def _filler_latin(sentence: str) -> bool:
     words = re.findall(r"[^\W\d_]+", sentence)
     if len(words) < 4 or not LATIN_CORE.search(sentence):
         return False
-    return sum(bool(LATIN.match(w)) for w in words) >= 0.6 * len(words)
+    # menus may stand before it in the same line: the end of the sentence decides, from where it is filler
+    latin = np.array([bool(LATIN.match(w)) for w in words])[::-1]
+    share = np.cumsum(latin) / np.arange(1, len(words) + 1)
+    return bool((share[3:] >= 0.6).any()) if len(words) < 15 else bool((share[13:] >= 0.6).any())
 
 
 def _is_message(sentence: str) -> bool:
     if SPOKEN.search(sentence):
         return False
-    return bool(NOTICES.search(sentence) or MESSAGES.search(sentence) or FILLER.search(sentence)) or _filler_latin(" ".join(sentence.split()[-14:]))
+    return bool(NOTICES.search(sentence) or MESSAGES.search(sentence) or FILLER.search(sentence)) or _filler_latin(sentence)
 
 
 def _slices(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -283,39 +308,176 @@ def _match(values: pa.Array, pattern: str, ignore_case: bool = True) -> np.ndarr
     return pc.match_substring_regex(values, pattern=pattern, ignore_case=ignore_case).to_numpy(zero_copy_only=False)
 
 
-def whole_pages(titles: pa.Array, texts: pa.Array) -> np.ndarray:
-    """True for rows whose page is a message, a notice or filler and nothing else."""
-    n = len(texts)
-    flat, row = _sentences(texts)
+def _own(flat: pa.Array, row: np.ndarray, n: int, besides: np.ndarray | None = None) -> np.ndarray:
+    """Words that each row has in sentences of its own, menus, consent and legal lines (and ``besides``) aside."""
     words = pc.add(pc.count_substring(flat, pattern=" "), 1).to_numpy(zero_copy_only=False)
     counted = _match(flat, r"[.!?…]\s*$") & ~_match(flat, _gate(AROUND.pattern)) & (words >= 7)
+    # menus stand before the first sentence of a page: a line counts as a sentence of usual length
     weight = np.where(counted, np.minimum(words, 20), 0)
+    return np.bincount(row, weight if besides is None else weight * ~besides, n)
+
+
+def whole_pages(titles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """True for rows whose page is a listed message, notice or filler and nothing else; and for rows without content beside what may be one."""
+    n = len(texts)
+    flat, row = _sentences(texts)
     gated = np.any([_match(flat, g) for g in _GATES], axis=0)
     # a row with too many words of its own even without its gated sentences cannot be a bare template
-    open_rows = np.bincount(row, weight * ~gated, n) <= OWN_WORDS
+    open_rows = _own(flat, row, n, gated) <= OWN_WORDS
     message = np.zeros(len(flat), bool)
     for i in np.flatnonzero(gated & open_rows[row]):
         message[i] = _is_message(flat[i].as_py())
-    own = np.bincount(row, weight * ~message, n)
     messages = np.bincount(row, message, n)
     error_title = _match(titles, ERROR_TITLE.pattern)
     filled = _match(texts, r"\S")
-    return filled & (own <= OWN_WORDS) & ((messages > 0) | error_title)
+    bare = filled & (_own(flat, row, n, message) <= OWN_WORDS)
+    return bare & ((messages > 0) | error_title), bare
+
+
+_B = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _masked(word: str) -> str:
+    word = word.strip("".join(QUOTES) + ".,;:!?…()[]")
+    return "" if not word else "*" if word[0].isupper() or any(c.isdigit() or c in "/@." for c in word) else word.casefold()
+
+
+class _Aligned:
+    """Words of a column of texts as hashes of their masked forms."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+        coded = lists.flatten().dictionary_encode()
+        forms = [_masked(w) for w in coded.dictionary.to_pylist()]
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        keep = np.array([f != "" for f in forms], bool)[index] if len(index) else np.zeros(0, bool)
+        self.row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[keep]
+        self.hash = np.array([xxhash.xxh64_intdigest(f) for f in forms], np.uint64)[index[keep]] if len(index) else np.zeros(0, np.uint64)
+        self.mask = np.array([f == "*" for f in forms], bool)[index[keep]] if len(index) else keep
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row and hash of all runs of ``RUN`` words of which one at most is masked."""
+        n = len(self.hash) - RUN + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        masks = np.cumsum(np.r_[0, self.mask])
+        at = np.flatnonzero((self.row[:n] == self.row[RUN - 1 :]) & (masks[RUN:] - masks[:n] <= 1))
+        h = np.zeros(len(at), np.uint64)
+        for k in range(RUN):
+            h = (h ^ self.hash[at + k]) * _B
+            h ^= h >> np.uint64(29)
+        return self.row[at], h.view(np.int64)
+
+    def gaps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row and hash of the words on both sides of all places that a filler could take."""
+        rows, hashes = [], []
+        for k in range(1, FILLER_WORDS + 1):
+            n = max(len(self.hash) - k - 1, 0)
+            at = np.flatnonzero(self.row[:n] == self.row[k + 1 : n + k + 1])
+            rows.append(self.row[at]), hashes.append((self.hash[at] * _B) ^ self.hash[at + k + 1])
+        return np.concatenate(rows), np.concatenate(hashes).view(np.int64)
+
+
+def _gap(context: str) -> int | None:
+    """The hash of ``_Aligned.gaps`` for a context with words on both sides."""
+    left, _, right = context.partition("|")
+    lw, rw = left.split(), right.lstrip(",;:.!? ").split()
+    if not lw or not rw or "^" in lw or not (a := _masked(lw[-1])) or not (b := _masked(rw[0])):
+        return None
+    with np.errstate(over="ignore"):
+        return int(((np.uint64(xxhash.xxh64_intdigest(a)) * _B) ^ np.uint64(xxhash.xxh64_intdigest(b))).view(np.int64))
+
+
+_HIT = "id string, at string, kind string, context string, example boolean, certain boolean, hash bigint"
+
+
+def _hits(b: pa.RecordBatch, at: list[int], hits: list[tuple]) -> pa.RecordBatch:
+    rows = pa.array(at, pa.int64())
+    types = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64())
+    return pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("at").take(rows), *(pa.array([h[k] for h in hits], t) for k, t in enumerate(types))], names=["id", "at", "kind", "context", "example", "certain", "hash"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of all kinds, and the runs of records without content (kind run, the text's hash as context)."""
     for whole in batches:
         for b in _slices(whole, "text"):
             titles, texts = pc.fill_null(b.column("title"), ""), pc.fill_null(b.column("text"), "")
             at, hits = [], []
-            for i in np.flatnonzero(whole_pages(titles, texts)):
-                at.append(int(i)), hits.append(("page", "", False, True))
+            told, bare = whole_pages(titles, texts)
+            for i in np.flatnonzero(told):
+                at.append(int(i)), hits.append(("page", "", False, True, None))
             gate = _match(titles, _PLACE_GATE, False) | _match(texts, _PLACE_GATE, False) | _match(titles, _LOOSE_GATE, False) | _match(texts, _LOOSE_GATE, False)
             for i in np.flatnonzero(gate):
                 for hit in residue_hits(titles[i].as_py(), texts[i].as_py()):
-                    at.append(int(i)), hits.append(hit)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("at").take(rows), *(pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.bool_())))], names=["id", "at", "kind", "context", "example", "certain"])
+                    loose = not hit[2] and not hit[3] and hit[0] != "var"
+                    at.append(int(i)), hits.append((*hit, _gap(hit[1]) if loose else None))
+            yield _hits(b, at, hits)
+            some = np.flatnonzero(bare)
+            rows, runs = _Aligned(texts.take(pa.array(some))).runs()
+            pairs = np.unique(np.stack([some[rows], runs]), axis=1) if len(rows) else np.zeros((2, 0), np.int64)
+            named = {i: xxhash.xxh64_hexdigest(texts[i].as_py()) for i in some.tolist()}
+            yield _hits(b, pairs[0].tolist(), [("run", named[i], False, False, r) for i, r in zip(*pairs.tolist())])
+
+
+def _fillers(text: str, gaps: set[int]) -> Iterator[tuple[str, int]]:
+    """Context and hash of the filler at all places of a text whose neighbours are in ``gaps``."""
+    words = [m for m in re.finditer(r"\S+", text) if _masked(m.group(0))]
+    forms = [_masked(m.group(0)) for m in words]
+    hashes = [xxhash.xxh64_intdigest(f) for f in forms]
+    for i in range(len(words)):
+        for k in range(1, FILLER_WORDS + 1):
+            if i + k + 1 >= len(words) or ((hashes[i] * int(_B) ^ hashes[i + k + 1]) & ((1 << 64) - 1)) % BITMAP not in gaps:
+                continue
+            start, end = words[i + 1].start(), words[i + k].start() + len(words[i + k].group(0).rstrip(",;:.!?"))
+            filler = text[start:end]
+            if not CANDIDATE.search(filler) and not SENTENCE.search(filler):
+                yield _context(text, start, end, False)[0], xxhash.xxh64_intdigest(filler) >> 1
+
+
+def _second(gaps: np.ndarray, runs: np.ndarray):
+    """The second scan: fillers in the candidates' contexts (kind fill), and runs of records with content (kind seen)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gap_bits, run_bits = np.unpackbits(gaps).astype(bool), np.unpackbits(runs).astype(bool)
+        for whole in batches:
+            for b in _slices(whole, "text"):
+                texts = pc.fill_null(b.column("text"), "")
+                aligned = _Aligned(texts)
+                at, hits = [], []
+                rows, h = aligned.gaps()
+                on = gap_bits[(h.view(np.uint64) % np.uint64(BITMAP)).astype(np.int64)]
+                rows, h = rows[on], (h[on].view(np.uint64) % np.uint64(BITMAP)).astype(np.int64)
+                order = np.argsort(rows, kind="stable")
+                rows, h = rows[order], h[order]
+                for i, s, e in _stretches(rows):
+                    for context, filler in set(_fillers(texts[i].as_py(), set(h[s:e].tolist()))):
+                        at.append(i), hits.append(("fill", context, False, False, filler))
+                yield _hits(b, at, hits)
+                rows, h = aligned.runs()
+                on = run_bits[(h.view(np.uint64) % np.uint64(BITMAP)).astype(np.int64)]
+                flat, row = _sentences(texts)
+                content = _own(flat, row, len(texts)) > OWN_WORDS
+                on &= content[rows]
+                seen, times = np.unique(np.unique(np.stack([rows[on], h[on]]), axis=1)[1], return_counts=True)
+                yield _hits(b, [0] * len(seen), [("seen", str(n), False, False, g) for g, n in zip(seen.tolist(), times.tolist())])
+
+    return scan
+
+
+def _stretches(rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Number, begin and end of each stretch of equal numbers."""
+    edges = np.flatnonzero(np.diff(rows)) + 1
+    for s, e in zip(np.r_[0, edges], np.r_[edges, len(rows)]):
+        if e > s:
+            yield int(rows[s]), int(s), int(e)
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits of the numbers in column ``hash``: at most ``BITMAP`` places come to the driver."""
+    places = hashes.where(F.col("hash").isNotNull()).select(F.expr(f"cast(hash & {BITMAP - 1} as int)").alias("p")).distinct().collect()
+    bits = np.zeros(BITMAP, bool)
+    bits[[r["p"] for r in places]] = True
+    return np.packbits(bits)
 
 
 def template_residue(df: DataFrame, id_col: str, title_col: str, text_col: str, order_cols: list[str]) -> DataFrame:
@@ -324,9 +486,20 @@ def template_residue(df: DataFrame, id_col: str, title_col: str, text_col: str,
     at = F.concat_ws("/", *[F.coalesce(F.date_format(c, "yyyyMMddHHmmssSSSSSS"), F.lit("")) for c in order_cols])
     base = df.select(F.col(id_col).alias("id"), at.alias("at"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
     last = df.select(F.col(id_col).alias("id"), at.alias("at")).groupBy("id").agg(F.max("at").alias("at"))
-    hits = base.mapInArrow(_scan, "id string, at string, kind string, context string, example boolean, certain boolean")
-    hits = hits.join(last, ["id", "at"], "left_semi")
-    # contexts, aligned over all records: where placeholders that are no examples stand in several records is a slot
-    slots = hits.where((F.col("kind") == "var") & ~F.col("example")).groupBy("context").agg(F.countDistinct("id").alias("support")).where(F.col("support") >= MIN_SUPPORT)
-    flagged = hits.join(slots, "context", "left").where(F.col("certain") | (F.col("support").isNotNull() & ~F.col("example") & (F.col("kind") != "var")))
-    return flagged.groupBy("id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    # candidates and runs are few against the texts; both scans are followed by joins on them
+    hits = materialize(spread(base).mapInArrow(_scan, _HIT).join(last, ["id", "at"], "left_semi"), "residue")
+    single = hits.where(F.col("kind") != "run")
+    runs = hits.where(F.col("kind") == "run").groupBy("hash").agg(F.countDistinct("context").alias("texts")).where(F.col("texts") >= MIN_PAGES)
+    runs = materialize(runs, "residue")
+    second = materialize(spread(base).mapInArrow(_second(_bitmap(single), _bitmap(runs)), _HIT), "residue")
+    # contexts, aligned over all records: placeholders that are no examples, or varying fillers, make a slot
+    known = single.where((F.col("kind") == "var") & ~F.col("example")).groupBy("context").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= MIN_SUPPORT).select("context")
+    fills = second.where(F.col("kind") == "fill").join(single.where(F.col("hash").isNotNull()).select("context").distinct(), "context", "left_semi")
+    varying = fills.groupBy("context").agg(F.countDistinct("hash").alias("fillers"), F.countDistinct("id").alias("n")).where((F.col("fillers") >= MIN_FILLERS) & (F.col("n") >= MIN_RECORDS)).select("context")
+    slots = known.unionByName(varying).distinct().withColumn("slot", F.lit(True))
+    flagged = single.join(slots, "context", "left").where(F.col("certain") | (F.col("slot") & ~F.col("example") & (F.col("kind") != "var"))).select("id", "kind")
+    # runs of whole-page templates: those that records with content hardly ever hold
+    seen = second.where(F.col("kind") == "seen").groupBy("hash").agg(F.sum(F.col("context").cast("long")).alias("content"))
+    templates = runs.join(seen, "hash", "left").where(F.coalesce("content", F.lit(0)) <= WITH_CONTENT * (F.col("texts") + F.coalesce("content", F.lit(0)))).select("hash")
+    pages = hits.where(F.col("kind") == "run").join(templates, "hash", "left_semi").select("id", F.lit("page").alias("kind"))
+    return flagged.unionByName(pages).groupBy("id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

@@ -55,3 +55,35 @@ def test_blanks_and_unlisted_syntaxes_in_slots(spark, filler, found):
 def test_doubled_blank_in_a_slot(spark):
     rows = [("a", None, f"{PROSE} Write to {{{{x}}}} at any time.", 0), ("b", None, f"{PROSE} Write to %%Y%% at any time.", 0), ("c", None, f"{PROSE} Write to  at any time.", 0), ("d", None, f"{PROSE} Write  it at any time.", 0)]
     assert _found(spark, rows) == {"a", "b", "c"}
+
+
+POLISH = "Sklep Kontakt Pomoc {} Przepraszamy, strona {} nie istnieje na tym serwerze Polityka Regulamin © 20{} X"
+
+
+def test_repeated_whole_pages_in_any_language(spark):
+    rows = [(f"p{k}", "Ups", POLISH.format("Blog" * (k % 3), f"/a{k}", 10 + k), 0) for k in range(6)]
+    # content that speaks of it, menus that repeat everywhere, and a short page that repeats only its menu
+    rows += [(f"c{k}", "T", f"Sklep Kontakt Pomoc Polityka Regulamin i inne dobre rzeczy w naszym sklepie {k}. {PROSE}", 0) for k in range(60)]
+    rows += [(f"s{k}", "T", f"Sklep Kontakt Pomoc Polityka Regulamin i inne dobre rzeczy w naszym sklepie {k}.", 0) for k in range(6)]
+    assert _found(spark, rows) == {f"p{k}" for k in range(6)}
+    # copies of one text are one text
+    assert _found(spark, [(f"p{k}", "Ups", POLISH.format("", "/a", 10), 0) for k in range(6)]) == set()
+
+
+@pytest.mark.parametrize("filler, found", [("", True), ("§NAME§", True), ("Customer Name", True), ("_____", True), ("Zoe", False), ("'§NAME§'", False)])
+def test_slots_by_varying_fillers(spark, filler, found):
+    rows = [(f"v{k}", None, f"{PROSE} Good morning {n}, your parcel is ready.", 0) for k, n in enumerate(["Anna", "Bob", "Carla Maria", "Dan", "Eve"])]
+    rows += [("x", None, f"{PROSE} Good morning {filler}, your parcel is ready.", 0), ("y", None, f"{PROSE} We ship {filler}, which pleases everyone.", 0)]
+    assert _found(spark, rows) == ({"x"} if found else set())
+
+
+def test_same_filler_everywhere_is_no_slot(spark):
+    rows = [(f"v{k}", None, f"{PROSE} Good morning Anna, your parcel is ready.", 0) for k in range(6)] + [("x", None, f"{PROSE} Good morning , your parcel is ready.", 0)]
+    assert _found(spark, rows) == set()
+
+
+def test_sentences_are_read_whole():
+    long = "word " * 400
+    context, quoted, left, right = R._context(f"Start. In a template {long}we put {{{{x}}}} there {long}end. Next", 0 + len(f"Start. In a template {long}we put "), len(f"Start. In a template {long}we put {{{{x}}}}"), False)
+    assert left.startswith("In a template") and right.strip().endswith("end.")
+    assert R.residue_hits("", f"In a template {long}we put {{{{x}}}} there.")[0][2]
