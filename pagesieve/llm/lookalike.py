@@ -4,11 +4,15 @@
 and combining accents, joined letters, kinds of blank, invisible characters. Raised or circled
 digits, case, accents and signs such as the numero sign stay, for they look different.
 
-Letters of other scripts are handled by script-aware repair. The dominant script of each token is
-found; in a token of several scripts (or one foreign token within a value of another script) the
-look-alikes are replaced by letters of the dominant script, but only if the token that comes out
-is a word of the corpus: it occurs there in one script, or several different spellings of the
-corpus repair to it. So words honestly written in Greek, Cyrillic or Armenian stay as they are.
+Letters of other scripts are handled by script-aware repair. The dominant script of each token is the one most of its
+letters are in (on a tie, most letters of the value). In a token of several scripts the look-alikes are replaced by letters of
+the dominant script, or, where that gives no word, of the next; but only if the token that comes out is in one script and in the
+corpus vocabulary. So Latin words with a Cyrillic letter and Cyrillic words with a Latin one are both repaired, and words
+written wholly in Greek, Cyrillic or Armenian stay as they are.
+
+Two things go beyond that, because values that look the same have to become equal: a token wholly in another script
+than its value's other tokens counts as mixed with them (it is still repaired only to a word of the corpus), and a word of which the corpus has no plain
+spelling is in the vocabulary if two different mixed spellings come to it in Latin letters.
 
 The vocabulary is never collected: candidate tokens, which are few, are joined with the distinct tokens of all values.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,18 +38,17 @@ from pagesieve.runtime import materialize
 LOOKALIKES = {
     # Cyrillic
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԁ": "d", "Ԛ": "Q", "Ԝ": "W", "Ғ": "F",
-    "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ѕ": "s", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l", "Ӏ": "I", "к": "k", "п": "n", "г": "r", "ѵ": "v", "Ѵ": "V",
+    "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ѕ": "s", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l", "Ӏ": "I", "к": "k", "ѵ": "v", "Ѵ": "V",
     "Ё": "Ë", "ё": "ë", "Ї": "Ï", "ї": "ï", "Ӓ": "Ä", "ӓ": "ä", "Ӧ": "Ö", "ӧ": "ö", "Ӱ": "Ÿ", "ӱ": "ÿ", "Ѐ": "È", "ѐ": "è", "ӑ": "ă", "Ӑ": "Ă", "ӗ": "ĕ", "Ӗ": "Ĕ", "ў": "y̆",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "α": "a", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "ϳ": "j", "ε": "e", "τ": "t", "η": "n", "ω": "w", "ό": "ó", "ί": "í", "ά": "á", "ύ": "ú",
+    "ο": "o", "ν": "v", "α": "a", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "ϳ": "j", "ε": "e", "ό": "ó", "ί": "í", "ά": "á", "ύ": "ú",
     # Armenian
-    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ք": "p", "ա": "w", "յ": "j", "ե": "t", "ռ": "n", "ղ": "n", "ւ": "i", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L", "Հ": "<", "Վ": "4", "Ց": "8",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ք": "p", "ա": "w", "յ": "j", "ռ": "n", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L",
     # others
     "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꮖ": "I", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     "ⲟ": "o", "Ⲟ": "O", "ⲣ": "p", "Ⲣ": "P", "ⲥ": "c", "Ⲥ": "C", "၀": "o", "ဝ": "o", "ഠ": "o", "๐": "o", "໐": "o", "०": "o",
 }
-_TABLE = {ord(k): v for k, v in LOOKALIKES.items() if v.isalpha() or len(v) > 1}
 #: Decompositions that only change the width, the joining or the font of a letter.
 _SAME_LOOK = frozenset(("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"))
 #: Joined letters and Roman numerals: drawn as the letters they consist of.
@@ -101,37 +105,55 @@ def script(c: str) -> str:
     return _scripts[c]
 
 
-def repair_candidates(value: str) -> list[tuple[str, str]]:
-    """(token, repaired token) of the tokens of a folded value that mix scripts or stand out from the value's script."""
-    if value.isascii():
-        return []
-    out: dict[str, str] = {}
+@lru_cache(maxsize=64)
+def _table(to: str) -> dict[int, str]:
+    """What letters of other scripts become in script ``to``: by way of the Latin letter they look like."""
+    if to == "LATIN":
+        return {ord(k): v for k, v in LOOKALIKES.items()}
+    own: dict[str, str] = {}
+    for k, v in LOOKALIKES.items():
+        if script(k) == to:
+            own.setdefault(v, k)
+    return {ord(v): k for v, k in own.items() if len(v) == 1} | {ord(k): own[v] for k, v in LOOKALIKES.items() if script(k) != to and v in own}
+
+
+def _by_frequency(text: str, ties: list[str] = ()) -> list[str]:
+    """Scripts of the letters of a text, the most frequent first; ties in the order of ``ties``."""
     counts: dict[str, int] = {}
-    for c in value:
+    for c in text:
         if s := script(c):
             counts[s] = counts.get(s, 0) + 1
-    if not set(counts) - {"LATIN"}:
+    return sorted(counts, key=lambda s: (-counts[s], ties.index(s) if s in ties else len(ties), s))
+
+
+def repair_candidates(value: str) -> list[tuple[str, str, int]]:
+    """(token, repaired token, place of its script) of the tokens of a folded value that mix scripts; place 0 is the dominant script."""
+    if value.isascii():
+        return []
+    of_value = _by_frequency(value)
+    if len(of_value) < 2:
         return []
-    # only a value that has Latin letters or an address can be in Latin
-    for m in TOKEN.finditer(value):
-        token = m.group(0)
-        scripts = {s for c in token if (s := script(c))}
-        foreign = scripts - {"LATIN"}
-        if not foreign:
+    out: list[tuple[str, str, int]] = []
+    for token in dict.fromkeys(m.group(0) for m in TOKEN.finditer(value)):
+        scripts = _by_frequency(token, of_value)
+        if not scripts or scripts == ["LATIN"]:
             continue
-        mixed = len(scripts) > 1 or any(c.isdigit() for c in token) or "LATIN" in counts
-        repaired = unicodedata.normalize("NFC", token.translate(_TABLE))
-        if mixed and all(script(c) in ("", "LATIN") for c in repaired):
-            out[token] = repaired
-    return list(out.items())
+        # a token of another script than its value's other tokens is mixed with them
+        tried = [*(scripts if len(scripts) > 1 else ()), *(x for x in of_value if x not in scripts)]
+        for place, to in enumerate(tried):
+            table = _table(to)
+            repaired = unicodedata.normalize("NFC", "".join(c if script(c) in ("", to) else table.get(ord(c), c) for c in token))
+            if all(script(c) in ("", to) for c in repaired):
+                out.append((token, repaired, place))
+    return out
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         column = b.column("raw")
         folded = [visual_form(v) for v in column.to_pylist()]
-        pairs = [[{"token": t, "repaired": r} for t, r in repair_candidates(v)] if v else [] for v in folded]
-        yield pa.RecordBatch.from_arrays([column, pa.array(folded, pa.string()), pa.array(pairs, pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string())])))], names=["raw", "folded", "pairs"])
+        pairs = [[{"token": t, "repaired": r, "place": p} for t, r, p in repair_candidates(v)] if v else [] for v in folded]
+        yield pa.RecordBatch.from_arrays([column, pa.array(folded, pa.string()), pa.array(pairs, pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string()), ("place", pa.int32())])))], names=["raw", "folded", "pairs"])
 
 
 _PLAIN = r"^[!-~]+( [!-~]+)*$"
@@ -148,15 +170,19 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     """
     raws = values.select("raw").where(F.col("raw").isNotNull())
     odd = raws.where(~F.col("raw").rlike(_PLAIN)).distinct()
-    folded = odd.mapInArrow(_forms, "raw string, folded string, pairs array<struct<token:string,repaired:string>>")
-    # words that need repair: the pairs of all values, each once
-    pairs = folded.where(F.size("pairs") > 0).select(F.explode("pairs").alias("p")).select("p.token", "p.repaired").distinct()
+    folded = odd.mapInArrow(_forms, "raw string, folded string, pairs array<struct<token:string,repaired:string,place:int>>")
+    # tokens that may be repaired, each once; of the repairs that are words of the corpus the one in the most frequent script counts
+    pairs = folded.where(F.size("pairs") > 0).select(F.explode("pairs").alias("p")).groupBy("p.token", "p.repaired").agg(F.min("p.place").alias("place"))
+    # words are the tokens that nothing in their value asks to repair
+    vocabulary = raws.where(F.col("raw").rlike(_PLAIN)).select(F.explode(_tokens(F.col("raw"))).alias("repaired")).union(folded.select(F.explode(F.array_except(_tokens(F.col("folded")), F.col("pairs.token"))).alias("repaired")))
+    known = vocabulary.join(pairs.select("repaired").distinct(), "repaired", "left_semi").distinct().withColumn("known", F.lit(True))
+    # without a plain original two different spellings that come to the same Latin word attest it
     attested = pairs.groupBy("repaired").agg(F.count("*").alias("spellings"))
-    vocabulary = raws.select(F.explode(_tokens(F.col("raw"))).alias("repaired")).union(folded.where(F.size("pairs") == 0).select(F.explode(_tokens(F.col("folded"))).alias("repaired")))
-    known = vocabulary.join(attested.select("repaired"), "repaired", "left_semi").distinct().withColumn("known", F.lit(True))
-    accepted = pairs.join(attested, "repaired").join(known, "repaired", "left").where(F.col("known") | (F.col("spellings") > 1)).select("token", "repaired")
+    ranked = pairs.join(attested, "repaired").join(known, "repaired", "left").where(F.col("known") | ((F.col("spellings") > 1) & F.col("repaired").rlike(r"\p{IsLatin}")))
+    order = F.when(F.col("known"), F.col("place")).otherwise(1000)
+    accepted = ranked.groupBy("token").agg(F.min(F.struct(order.alias("o"), "repaired")).alias("b")).select("token", "b.repaired")
     plain = folded.where(F.size("pairs") == 0).select("raw", F.col("folded").alias("form"))
-    mended = folded.where(F.size("pairs") > 0).select("raw", "folded", F.explode("pairs").alias("p")).select("raw", "folded", "p.token").join(accepted, "token", "left")
+    mended = folded.where(F.size("pairs") > 0).select("raw", "folded", F.explode(F.array_distinct("pairs.token")).alias("token")).join(accepted, "token", "left")
     mended = mended.groupBy("raw", "folded").agg(F.map_from_entries(F.collect_list(F.when(F.col("repaired").isNotNull(), F.struct("token", "repaired")))).alias("m"))
     parts = F.regexp_extract_all("folded", F.lit(r"([\p{L}\p{N}]+(?:\p{Mn}[\p{L}\p{N}]*)*|[^\p{L}\p{N}]+)"), F.lit(1))
     mended = mended.select("raw", F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("m", p), p)), "").alias("form"))

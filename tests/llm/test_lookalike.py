@@ -27,6 +27,20 @@ def test_repair_needs_the_vocabulary(spark):
     assert got == ["Guide to safer passwords", "Guide to safer passwords", "Вот слово", "zаqx here", None, ""]
 
 
+def test_dominant_script_in_both_directions(spark):
+    latin_m, latin_o = "Mосква", "кoт"  # Cyrillic words with a Latin letter
+    assert L.repair_candidates(latin_m)[0] == (latin_m, "Москва", 0) and L.repair_candidates("pаypal")[0] == ("pаypal", "paypal", 0)
+    honest = ["Москва", "кот", "Αθήνα", "λόγος", "Երևան", "բառ", "слово and word", "Αθήνα guide", "Երևան today"]
+    assert _forms(spark, [latin_m, latin_o, *honest]) == ["Москва", "кот", *honest]
+    # no word of the corpus comes out: nothing is changed
+    assert _forms(spark, ["кoт", "собака"]) == ["кoт", "собака"]
+
+
+def test_whole_token_of_another_script(spark):
+    assert _forms(spark, ["site со here", "site co here"]) == ["site co here"] * 2
+    assert _forms(spark, ["со мной", "site co here"]) == ["со мной", "site co here"]
+
+
 def test_spellings_attest_each_other(spark):
     got = _forms(spark, ["plan 0Ο1Х", "plan 0О1Χ"])  # Greek and Cyrillic letters, no Latin original
     assert got[0] == got[1] == "plan 0O1X"
