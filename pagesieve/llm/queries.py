@@ -91,22 +91,51 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, sf_dir))
 
 
+def _grad_domains(spark: SparkSession, sf_dir: str, suffixes: list[str]) -> DataFrame:
+    """Rows of grad_rows with the registered domain of their address and the one they name."""
+    named = F.nullif(registered_domain(F.col("registered_domain"), suffixes), F.lit(""))
+    rows = table(spark, sf_dir, "grad_rows").select("id", "split", F.nullif(registered_domain(F.col("url"), suffixes), F.lit("")).alias("of_url"), named.alias("named"))
+    return rows.select("id", "split", F.coalesce("of_url", "named").alias("domain"), F.coalesce("named", "of_url").alias("named"), "of_url")
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("domain") != F.col("named")).select(F.col("domain").alias("a"), F.col("named").alias("b")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "grad_rows").select("split", registered_domain(F.col("url"), _suffixes(spark, sf_dir)).alias("registered_domain"))
-    return groupsplit.split_conflicts(rows, "registered_domain", "split").select("registered_domain")
+    """The audit that the new splits come with: registered domains (by address) whose rows lay in several splits before."""
+    rows = _grad_domains(spark, sf_dir, _suffixes(spark, sf_dir)).withColumn("given", F.when(F.col("of_url").isNotNull(), F.col("split")))
+    splits = groupsplit.grouped_splits(rows, "domain", TARGETS, _links(rows), ident="id", before="given")
+    return groupsplit.split_conflicts(splits, "domain").select(F.col("domain").alias("registered_domain"))
+
+
+def _all_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records of both tables (record, id, domain), and the links between domains."""
+    suffixes = _suffixes(spark, sf_dir)
+    seen = _latest_inputs(spark, sf_dir, ["final_url", "url"]).select(F.lit("observation").alias("record"), "id", registered_domain(F.coalesce("final_url", "url"), suffixes).alias("domain"))
+    rows = _grad_domains(spark, sf_dir, suffixes)
+    grad = rows.select(F.lit("grad_row").alias("record"), "id", "domain").distinct()
+    return seen.unionByName(grad), _links(rows)
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records, links = _all_records(spark, sf_dir)
+    return records, groupsplit.grouped_splits(records, "domain", TARGETS, links, ident="id")
 
 
 def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split of every registered domain of observations and training rows; a row's domains by address and by field stay together."""
-    suffixes = _suffixes(spark, sf_dir)
-    seen = _latest_inputs(spark, sf_dir, ["final_url", "url"]).select(registered_domain(F.coalesce("final_url", "url"), suffixes).alias("domain"))
-    rows = table(spark, sf_dir, "grad_rows").select("id", "url", "registered_domain").distinct()
-    named = F.nullif(registered_domain(F.col("registered_domain"), suffixes), F.lit(""))
-    rows = rows.select(registered_domain(F.col("url"), suffixes).alias("domain"), named.alias("named"))
-    rows = rows.select(F.coalesce("domain", "named").alias("domain"), F.coalesce("named", "domain").alias("named"))
-    links = rows.where(F.col("domain") != F.col("named")).select(F.col("domain").alias("a"), F.col("named").alias("b")).distinct()
-    keys = seen.unionByName(rows.select("domain"))
-    return groupsplit.grouped_splits(keys, "domain", TARGETS, links).select(F.col("domain").alias("registered_domain"), "component", "split")
+    return _splits(spark, sf_dir)[1].select(F.when(~F.startswith(F.col("domain"), F.lit(groupsplit.ALONE)), F.col("domain")).alias("registered_domain"), "component", "split", "n")
+
+
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of both tables with its split."""
+    records, splits = _splits(spark, sf_dir)
+    return groupsplit.assigned_records(records, "domain", "id", splits).select("record", "id", F.col("domain").alias("registered_domain"), "split")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupsplit.reached_shares(_splits(spark, sf_dir)[1], TARGETS)
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +176,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_contributors, p2_found, p2_kinds, p3_found, p3_forms, p4_found, p4_bodies, p5_found, p5_report, p6_found, p6_splits, p8_found, p8_items, p8_clean, p9_mix, p9_report, p10_found, p10_statistics)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_contributors, p2_found, p2_kinds, p3_found, p3_forms, p4_found, p4_bodies, p5_found, p5_report, p6_found, p6_splits, p6_records, p6_shares, p8_found, p8_items, p8_clean, p9_mix, p9_report, p10_found, p10_statistics)}
 
 
 def _domain_sql(address: str) -> str:
