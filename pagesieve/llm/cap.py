@@ -4,11 +4,12 @@ Cutoffs are found by parallel bisection. Every contributor over the cap has boun
 cutoff score; in one pass all its undecided records are counted above each of
 ``MIDPOINTS - 1`` midpoints between the bounds, the interval in which the cap is reached becomes
 the new bounds, and only the records within it stay undecided. When the bounds of a contributor meet,
-its boundary is a tie; ties are narrowed in the same way along the identifier (six bytes at a time).
-What is left of a boundary (``SMALL`` records or fewer) is ranked exactly.
+its boundary is a tie; ties are narrowed in the same way along the identifier (six bytes at a time), until one record is
+left of each boundary.
 
 No contributor's records are ever sorted or gathered in one task: a pass is a partial
-aggregation to at most ``MIDPOINTS`` counts a contributor, however many of the rows it holds.
+aggregation to at most ``MIDPOINTS`` counts a contributor, however many of the rows it holds. Bounds and cutoffs are brought to
+the records by broadcast if there are at most ``BROADCAST`` of them (they are counted), else by a join over salted keys.
 
 Defined results: records whose contributor is null or '' belong to nobody and are kept; null and
 NaN scores rank last; equal scores are kept by smaller identifier; identifiers are taken as unique
@@ -23,10 +24,19 @@ from pyspark.sql import functions as F
 from pagesieve.runtime import materialize
 
 MIDPOINTS = 1024
-SMALL = 256
+#: Contributors whose bounds or cutoffs are broadcast; salts of a key beyond that.
+BROADCAST, SALTS = 100_000, 32
 _BOUND = 1e300
 
 
+def _beside(records: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """``records`` with the row of ``few`` (one a key) beside each, without a task for a hot key."""
+    if few.limit(BROADCAST + 1).count() <= BROADCAST:
+        return records.join(F.broadcast(few), "key", how)
+    salted = records.withColumn("_salt", F.pmod(F.xxhash64("ident"), F.lit(SALTS)).cast("int"))
+    return salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "_salt"], how).drop("_salt")
+
+
 def _narrow(und: DataFrame, value: Column) -> DataFrame:
     """One round: keep the records of the interval in which the need of their contributor is reached."""
     v = und.withColumn("_v", value)
@@ -34,12 +44,13 @@ def _narrow(und: DataFrame, value: Column) -> DataFrame:
     bounds = v.groupBy("key").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(F.col("_v").isNull(), F.lit(-1)).when(width <= 0, F.lit(0)).otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / width * MIDPOINTS), F.lit(MIDPOINTS - 1))).cast("int")
-    slotted = v.join(bounds, "key").withColumn("_slot", slot)
+    slotted = _beside(v, materialize(bounds, "cap")).withColumn("_slot", slot)
     counts = slotted.groupBy("key", "_slot").agg(F.count("*").alias("_n"), F.first("need").alias("_need"))
     above = Window.partitionBy("key").orderBy(F.col("_slot").desc())
     reached = counts.withColumn("_cum", F.sum("_n").over(above)).where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_n") < F.col("_need")))
     reached = reached.select("key", "_slot", (F.col("_need") - (F.col("_cum") - F.col("_n"))).alias("_left"))
-    return slotted.join(reached, ["key", "_slot"]).select("key", "ident", "score", F.col("_left").alias("need"))
+    inside = _beside(slotted, materialize(reached.withColumnRenamed("_slot", "_at"), "cap")).where(F.col("_slot") == F.col("_at"))
+    return inside.select("key", "ident", "score", F.col("_left").alias("need"))
 
 
 def _widest(und: DataFrame, value: Column) -> tuple[int, int]:
@@ -61,30 +72,27 @@ def cutoffs(records: DataFrame, cap: int) -> DataFrame:
     ``records`` has key, ident and score, one row per identifier, and should be materialized.
     """
     over = records.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key")
-    und = materialize(records.join(over, "key", "left_semi").withColumn("need", F.lit(cap).cast("long")), "cap")
+    und = materialize(_beside(records, materialize(over, "cap")).withColumn("need", F.lit(cap).cast("long")), "cap")
     score, k = F.col("score"), -1
     while True:
         most, wide = _widest(und, score)
-        if most <= SMALL:
+        if most <= 1:
             break
-        if wide <= SMALL:  # bounds have met: the rest are ties
+        if wide <= 1:  # bounds have met: the rest are ties
             k += 1
-            length = und.agg(F.max(F.octet_length("ident"))).first()[0]
-            if 6 * k >= length:
-                break
-            # contributors whose boundary is not a tie keep their records
+            # contributors whose boundary is not a tie keep their record
             part = _ident_part(k)
-            tied = und.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key")
-            ties, rest = und.join(tied, "key", "left_semi"), und.join(tied, "key", "left_anti")
+            tied = materialize(und.groupBy("key").agg((F.count("*") > 1).alias("_tied")), "cap")
+            marked = _beside(und, tied)
+            ties, rest = marked.where("_tied").drop("_tied"), marked.where("not _tied").drop("_tied")
             while True:
                 ties = materialize(_narrow(ties, part), "cap")
-                if _widest(ties, part)[1] <= SMALL:
+                if _widest(ties, part)[1] <= 1:
                     break
             und = materialize(rest.unionByName(ties), "cap")
             continue
         und = materialize(_narrow(und, score), "cap")
-    order = Window.partitionBy("key").orderBy(F.col("score").desc_nulls_last(), F.col("ident"))
-    return und.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == F.col("need")).select("key", F.col("score").alias("cut_score"), F.col("ident").alias("cut_ident"))
+    return und.select("key", F.col("score").alias("cut_score"), F.col("ident").alias("cut_ident"))
 
 
 def cap_contributors(records: DataFrame, key: str, ident: str, score: str, max_count: int | None = None, share: float | None = None, least: int = 1) -> DataFrame:
@@ -99,4 +107,4 @@ def cap_contributors(records: DataFrame, key: str, ident: str, score: str, max_c
     cap = max_count if max_count is not None else max(least, int(one.count() * share))
     cut = cutoffs(one.where(F.col("key").isNotNull()), cap)
     after = (F.col("score") < F.col("cut_score")) | (F.col("score").isNull() & F.col("cut_score").isNotNull()) | (F.col("score").eqNullSafe(F.col("cut_score")) & (F.col("ident") > F.col("cut_ident")))
-    return one.join(cut, "key", "left").select("key", "ident", "score", F.when(F.col("cut_ident").isNull(), True).otherwise(~F.coalesce(after, F.lit(False))).alias("kept"))
+    return _beside(one, materialize(cut, "cap"), "left").select("key", "ident", "score", F.when(F.col("cut_ident").isNull(), True).otherwise(~F.coalesce(after, F.lit(False))).alias("kept"))

@@ -24,9 +24,9 @@ def _brute(rows, most):
     return {i for v in by.values() for *_, i in sorted(v)[most:]}
 
 
-@pytest.mark.parametrize("seed, most, small, mid", [(1, 5, 256, 1024), (2, 7, 2, 4), (3, 40, 1, 2), (4, 3, 3, 8)])
-def test_like_sorting(spark, monkeypatch, seed, most, small, mid):
-    monkeypatch.setattr(cap, "SMALL", small)
+@pytest.mark.parametrize("seed, most, few, mid", [(1, 5, 100_000, 1024), (2, 7, 0, 256), (3, 40, 100_000, 64)])
+def test_like_sorting(spark, monkeypatch, seed, most, few, mid):
+    monkeypatch.setattr(cap, "BROADCAST", few)  # 0: by salted keys
     monkeypatch.setattr(cap, "MIDPOINTS", mid)
     rng = random.Random(seed)
     rows = []
@@ -41,7 +41,6 @@ def test_like_sorting(spark, monkeypatch, seed, most, small, mid):
 
 
 def test_one_score_for_all(spark, monkeypatch):
-    monkeypatch.setattr(cap, "SMALL", 2)
     monkeypatch.setattr(cap, "MIDPOINTS", 4)
     rows = [("hot", f"{k:03d}", 0.5, "", 0) for k in range(300)]
     out = cap.cap_contributors(spark.createDataFrame(rows, SCHEMA), "domain", "id", "score", max_count=10).where("kept").collect()
