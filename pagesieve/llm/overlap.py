@@ -8,13 +8,11 @@ candidate is verified exactly: its shingle Jaccard similarity is computed, and t
 the share of words in common in the same order (longest common subsequence), at least ``SHARE``. A text
 whose end is cut off is compared with the beginning of the other.
 
-Bands miss pairs with scattered changes and short cut-off texts, so an exact path stands beside them. Of the n
-counted words of a text (a word and which of its occurrences it is) at most a fifth may be missing in the other, so two texts over ``SHARE``
-have one of their rarest n / 5 + 1 counted words in common, in whatever order of rarity; a text longer than the
-other is represented by the rarest words of each of its beginnings. Classes meet by these words, one row a word, in a join whose condition also
-compares the lengths and bitmaps of ``BITS`` bits of the counted words: bits set in the shorter and not in the longer text are at most as many
-as missing words. So no pair over ``SHARE`` is lost, whatever collides, and classes without a rare word in common are never compared.
-Rarity is the count of the word in a sketch of ``SKETCH`` counters over all texts, which is all that is broadcast; any order would be exact.
+Bands miss pairs with scattered changes and short cut-off texts, so an exact path stands beside them: of
+the counted words of the shorter text at most one in five may be missing in the other, or in as much of
+its beginning. Counted words are hashed to bitmaps, one for each doubling of ``SHORTEST`` words up to the text's own length, and bits that are
+set in the one and not in the other are at most as many as missing words; so no pair over ``SHARE`` is lost, whatever collides.
+The classes of the evaluation splits are the stated query set: in blocks of ``BLOCK`` they are compared with all blocks of the training split.
 
 Defined results: rows without a split are left out; null or empty texts have no class and match by address
 only; null or empty addresses match by text only; repeated rows count once; texts of any length are
@@ -36,8 +34,8 @@ from pyspark.sql import functions as F
 from pagesieve.runtime import materialize, spread
 
 SHINGLE, BANDS, ROWS = 5, 16, 3
-#: Counters of the sketch of word counts, bits of a bitmap, and words up to which the beginnings of a text are looked at one by one.
-SKETCH, BITS, SINGLY = 1 << 18, 256, 600
+#: Classes and bytes of text in a block (a single long text is a block of its own); length in words up to which the first and shortest bitmaps are used, each next length is twice as long.
+BLOCK, BLOCK_BYTES, SHORTEST = 2048, 8 << 20, 32
 #: Least share of words in common in the same order.
 SHARE = 0.8
 #: Lines of a text that name its address.
@@ -113,117 +111,106 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *(part.column(c).take(of) for c in ("no", "in_train", "in_eval"))], names=["band", "no", "in_train", "in_eval"])
 
 
-def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the counted words of all texts one after the other, and how many each text has."""
+def _levels(longest: int) -> Iterator[tuple[int, int, int]]:
+    """Lengths of texts over and up to which a level stands, and the 64-bit words of its bitmaps."""
+    low, high = 0, SHORTEST
+    while True:
+        yield low, high, max(8, high // 16)
+        if longest <= high:
+            return
+        low, high = high, 2 * high
+
+
+def _bitmaps(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Words of each text, and the bitmaps of all levels: of a level, those of the texts longer than its lower length.
+
+    A bitmap holds the counted words (a word and which of its occurrences it is) of the first five fourths of the level's upper length:
+    a shorter text of that level is whole in it, and so is a longer one with which it can have ``SHARE`` of all words in common.
+    """
     lists = pc.split_pattern(texts, pattern=" ")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     table = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-    key = np.repeat(np.arange(len(counts)), counts) * len(table) + code
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
+    key = text * len(table) + code
     order = np.argsort(key, kind="stable")
     first = np.concatenate([[True], np.diff(key[order]) != 0])
     nth = np.empty(len(code), np.int64)
     nth[order] = np.arange(len(code)) - np.flatnonzero(first)[np.cumsum(first) - 1]
     h = (table[code] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ (h >> np.uint64(29)), counts
-
-
-def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of bounded bytes; a single long text is a part of its own."""
-    sizes = np.cumsum(pc.binary_length(b.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < b.num_rows:
-        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + (8 << 20), "right")))
-        yield b.slice(start, end - start)
-        start = end
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, np.int64)
+    h ^= h >> np.uint64(29)
+    out = []
+    for low, high, width in _levels(int(counts.max())):
+        rows = np.flatnonzero(counts > low)
+        row_of = np.full(len(counts), -1)
+        row_of[rows] = np.arange(len(rows))
+        used = (place < high + high // 4) & (row_of[text] >= 0)
+        bits = np.zeros((len(rows), 64 * width), bool)
+        bits[row_of[text[used]], (h[used] % np.uint64(64 * width)).astype(np.int64)] = True
+        out.append(np.packbits(bits, axis=1).tobytes())
+    return counts, b"".join(out)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes = np.cumsum(pc.binary_length(b.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BLOCK_BYTES, "right"))
+            part = b.slice(start, max(1, min(end - start, BLOCK)))
+            start += part.num_rows
+            counts, bits = _bitmaps(part.column("words"))
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("no").to_pylist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([bits], pa.binary())], names=["no", "n", "bits"])
+
+
+def _unpacked(n: np.ndarray, bits: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each level the texts that have a bitmap, and their bitmaps."""
+    at = 0
+    for low, _, width in _levels(int(n.max())):
+        rows = np.flatnonzero(n > low)
+        yield rows, np.frombuffer(bits, np.uint64, len(rows) * width, at).reshape(len(rows), width)
+        at += len(rows) * width * 8
+
+
+def _may_share(n_a: np.ndarray, bits_a: bytes, n_b: np.ndarray, bits_b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of two blocks of which the shorter text may have ``SHARE`` of its words in the other."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for (low, high, _), (rows_a, a), (rows_b, b) in zip(_levels(1 << 62), _unpacked(n_a, bits_a), _unpacked(n_b, bits_b)):
+        # bits in common that a text of this level needs; longer ones are judged by the other text alone
+        least_a, least_b = (np.where(n[rows] <= high, np.bitwise_count(x).sum(axis=1, dtype=np.int64) - np.floor((1 - SHARE) * n[rows] + 1e-6).astype(np.int64), 1 << 30).astype(np.int32) for n, rows, x in ((n_a, rows_a, a), (n_b, rows_b, b)))
+        own = least_a < 1 << 30
+        for rows_x, x, least_x, rows_y, y, least_y, swap in ((rows_a[own], a[own], least_a[own], rows_b, b, least_b, False), (rows_b[least_b < 1 << 30], b[least_b < 1 << 30], least_b[least_b < 1 << 30], rows_a[~own], a[~own], least_a[~own], True)):
+            columns = np.ascontiguousarray(y.T)
+            for start in range(0, len(rows_x), 32):
+                part = x[start : start + 32]
+                common = np.zeros((len(part), len(rows_y)), np.uint16 if part.shape[1] < 1024 else np.int32)
+                for k in range(part.shape[1]):
+                    common += np.bitwise_count(part[:, k, None] & columns[k])
+                i, j = np.nonzero(common >= np.minimum(least_x[start : start + 32, None], least_y))
+                i, j = rows_x[start + i], rows_y[j]
+                found.append((j, i) if swap else (i, j))
+    return tuple(np.concatenate(side) for side in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in _parts(whole):
-            total += np.bincount((_counted(b.column("words"))[0] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
-
-
-def _missing(n: np.ndarray | int) -> np.ndarray:
-    """Most words that may be missing of n."""
-    return np.floor((1 - SHARE) * np.asarray(n) + 1e-6).astype(np.int64)
-
-
-def rare_words(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the words that stand for a text or one of its beginnings, whether they do for the whole, and the shortest and longest beginning they stand for.
-
-    ``rank`` has the place of each word in the order of rarity within the text.
-    """
-    n = len(rank)
-    own = rank <= _missing(n)
-    if n <= SINGLY:
-        rarer = np.cumsum(rank[None, :] < rank[:, None], axis=1, dtype=np.int32)  # [i, m - 1]: rarer words than i among the first m
-        stands = (rarer <= _missing(np.arange(1, n + 1))[None, :]) & (np.arange(n)[None, :] >= np.arange(n)[:, None])
-        first, last = stands.argmax(axis=1) + 1, n - stands[:, ::-1].argmax(axis=1)
-        some = stands.any(axis=1)
-    else:  # beginnings of like length together: no word that stands for one of them is left out
-        first, last, some = np.full(n, n + 1), np.zeros(n, np.int64), np.zeros(n, bool)
-        low = 1
-        while low <= n:
-            high = min(n, low + max(low // 8, 1) - 1)  # lengths from low to high
-            stands = np.searchsorted(np.sort(rank[:low]), rank[:high], "left") <= _missing(high)
-            at = np.flatnonzero(stands)
-            some[at] = True
-            first[at] = np.minimum(first[at], low)
-            last[at] = high
-            low = high + 1
-    at = np.flatnonzero(some | own)
-    return at, own[at], np.minimum(first[at], n), np.where(some, last, 0)[at]
-
-
-_WORDS = "word bigint, no bigint, n int, own boolean, least int, most int, in_train boolean, in_eval boolean, " + ", ".join(f"b{k} bigint" for k in range(BITS // 64))
-
-
-def _rare(sketch: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in _parts(whole):
-                h, counts = _counted(b.column("words"))
-                rarity = sketch[(h % np.uint64(SKETCH)).astype(np.int64)]
-                place = (h >> np.uint64(64 - 8)).astype(np.int64)  # of the bit
-                text = np.repeat(np.arange(len(counts)), counts)
-                bits = np.zeros((len(counts), BITS), bool)
-                bits[text, place % BITS] = True
-                maps = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                order = np.lexsort((h, rarity, text))
-                starts = np.cumsum(counts) - counts
-                rank = np.empty(len(h), np.int64)
-                rank[order] = np.arange(len(h)) - starts[text[order]]
-                found = [rare_words(rank[s : s + c]) for s, c in zip(starts.tolist(), counts.tolist())]
-                of = np.repeat(np.arange(len(counts)), [len(f[0]) for f in found])
-                at = np.concatenate([f[0] + s for f, s in zip(found, starts.tolist())])
-                own, least, most = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
-                side = [b.column(c).take(pa.array(of)) for c in ("no", "in_train", "in_eval")]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), side[0], pa.array(counts[of].astype(np.int32)), pa.array(own), pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32)), *side[1:], *(pa.array(maps[of, k]) for k in range(BITS // 64))], names=[c.split()[0] for c in _WORDS.split(", ")])
-
-    return run
+        for r in range(whole.num_rows):
+            b = whole.slice(r, 1)
+            n_a, n_b = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            i, j = _may_share(n_a, b.column("bits_a")[0].as_py(), n_b, b.column("bits_b")[0].as_py())
+            yield pa.RecordBatch.from_arrays([b.column("no_a").flatten().take(pa.array(i)), b.column("no_b").flatten().take(pa.array(j))], names=["train_no", "eval_no"])
 
 
 def exact_candidates(classes: DataFrame) -> DataFrame:
     """train_no, eval_no: every pair that can have ``SHARE`` of the words in common, and some that have not."""
-    sums = classes.select("words").mapInArrow(_sketched, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
-    sketch = np.zeros(SKETCH, np.int64)
-    sketch[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    rare = classes.select("no", "words", "in_train", "in_eval").mapInArrow(_rare(sketch), _WORDS)
-    keep = ["no", "n", "own", "least", "most", *(f"b{k}" for k in range(BITS // 64))]
-    t, e = (rare.where(side).select("word", *(F.col(c).alias(f"{p}_{c}") for c in keep)) for side, p in (("in_train", "t"), ("in_eval", "e")))
-
-    def meets(s: str, l: str) -> Column:  # s is not longer than l
-        missing = sum((F.bit_count(F.col(f"{s}_b{k}").bitwiseAND(F.bitwise_not(F.col(f"{l}_b{k}")))) for k in range(1, BITS // 64)), F.bit_count(F.col(f"{s}_b0").bitwiseAND(F.bitwise_not(F.col(f"{l}_b0")))))
-        n = F.col(f"{s}_n")
-        return (n <= F.col(f"{l}_n")) & F.col(f"{s}_own") & (F.col(f"{l}_own") | n.between(F.col(f"{l}_least"), F.col(f"{l}_most"))) & (missing <= F.floor(F.lit(1 - SHARE) * n + 1e-6))
-
-    met = t.join(e, (t["word"] == e["word"]) & (F.col("t_no") != F.col("e_no")) & (meets("t", "e") | meets("e", "t")))
-    return met.select(F.col("t_no").alias("train_no"), F.col("e_no").alias("eval_no"))
+    def blocks(side: str, p: str) -> DataFrame:
+        packed = materialize(classes.where(side).select("no", "words").mapInArrow(_blocks, "no array<bigint>, n array<bigint>, bits binary"), "overlap")
+        return packed.select(*[F.col(c).alias(f"{c}_{p}") for c in ("no", "n", "bits")])
+
+    pairs = spread(blocks("in_train", "a")).crossJoin(blocks("in_eval", "b"))
+    return pairs.mapInArrow(_compared, "train_no bigint, eval_no bigint").where(F.col("train_no") != F.col("eval_no"))
 
 
 def common_in_order(a: list[str], b: list[str]) -> int:

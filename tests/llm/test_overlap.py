@@ -91,18 +91,18 @@ def test_scattered_changes_and_short_cut_off_texts_are_all_found(spark):
     assert len(want) > 100
 
 
-def test_rare_words_of_all_beginnings():
+def test_long_texts_keep_to_their_own_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(O, "BLOCK_BYTES", 2000)
+    long = " ".join(str(k) for k in range(70_000))
+    texts = ["a b c", long, "a b c d", " ".join(str(k) for k in range(20))]
+    blocks = [(b.column("n")[0].as_py(), b.column("bits")[0].as_py()) for b in O._blocks([pa.record_batch([pa.array([1, 2, 3, 4]), pa.array(texts)], names=["no", "words"])])]
+    assert [n for n, _ in blocks] == [[3], [70_000], [4, 20]]
     import numpy as np
 
-    rng = random.Random(12)
-    for n in (1, 2, 7, 40, 150, 700):
-        rank = np.array(rng.sample(range(n), n))
-        at, own, least, most = O.rare_words(rank)
-        where = {int(i): (bool(o), int(a), int(b)) for i, o, a, b in zip(at, own, least, most)}
-        assert {i for i in where if where[i][0]} == {i for i in range(n) if rank[i] <= n // 5}
-        for m in range(1, n + 1):
-            first = sorted(range(m), key=lambda i: rank[i])[: m // 5 + 1]
-            assert all(i in where and where[i][1] <= m <= where[i][2] for i in first)
+    same = [[[x.tolist() for x in O._may_share(np.array(n), b, np.array(m), c)] for m, c in blocks] for n, b in blocks]
+    assert same[1][1] == [[0], [0]] and same[1][2] == [[0], [1]] and same[2][1] == [[1], [0]] and same[0][2] == [[0], [0]] and same[0][1] == [[], []]
 
 
 @pytest.mark.parametrize("changed", [0.05, 0.1, 0.15, 0.2])
