@@ -369,23 +369,30 @@ class _Aligned:
         return self.row[at], h.view(np.int64)
 
     def gaps(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row and hash of the words on both sides of all places that a filler could take."""
+        """Row and hash of three of the words on both sides of all places that a filler could take, in either way of ``_gap``."""
         rows, hashes = [], []
+        w, row = self.hash, self.row
         for k in range(1, FILLER_WORDS + 1):
-            n = max(len(self.hash) - k - 1, 0)
-            at = np.flatnonzero(self.row[:n] == self.row[k + 1 : n + k + 1])
-            rows.append(self.row[at]), hashes.append((self.hash[at] * _B) ^ self.hash[at + k + 1])
+            n = max(len(w) - k - 2, 0)
+            at = np.flatnonzero(row[:n] == row[k + 2 : n + k + 2])
+            rows += [row[at], row[at]]
+            hashes += [_three(w[at], w[at + k + 1], w[at + k + 2], 1), _three(w[at], w[at + 1], w[at + k + 2], 2)]
         return np.concatenate(rows), np.concatenate(hashes).view(np.int64)
 
 
+def _three(a: np.ndarray, b: np.ndarray, c: np.ndarray, way: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((a * _B + b) * _B + c) * _B + np.uint64(way)
+
+
 def _gap(context: str) -> int | None:
-    """The hash of ``_Aligned.gaps`` for a context with words on both sides."""
+    """The hash of ``_Aligned.gaps`` for a context: the word before and the two behind, or the two before and the one behind. None for contexts of fewer words."""
     left, _, right = context.partition("|")
-    lw, rw = left.split(), right.lstrip(",;:.!? ").split()
-    if not lw or not rw or "^" in lw or not (a := _masked(lw[-1])) or not (b := _masked(rw[0])):
+    lw, rw = [_masked(w) for w in left.split()], [_masked(w) for w in right.lstrip(",;:.!? ").split()]
+    if not lw or not rw or "^" in lw or "" in lw or "" in rw or len(lw) + len(rw) < 3:
         return None
-    with np.errstate(over="ignore"):
-        return int(((np.uint64(xxhash.xxh64_intdigest(a)) * _B) ^ np.uint64(xxhash.xxh64_intdigest(b))).view(np.int64))
+    words, way = ([lw[-1], *rw], 1) if len(rw) > 1 else ([*lw, rw[0]], 2)
+    return int(_three(*(np.uint64(xxhash.xxh64_intdigest(w)) for w in words), way).view(np.int64))
 
 
 _HIT = "id string, at string, kind string, context string, example boolean, certain boolean, hash bigint"
@@ -422,16 +429,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fillers(text: str, gaps: set[int]) -> Iterator[tuple[str, int]]:
     """Context and hash of the filler at all places of a text whose neighbours are in ``gaps``."""
     words = [m for m in re.finditer(r"\S+", text) if _masked(m.group(0))]
-    forms = [_masked(m.group(0)) for m in words]
-    hashes = [xxhash.xxh64_intdigest(f) for f in forms]
-    for i in range(len(words)):
-        for k in range(1, FILLER_WORDS + 1):
-            if i + k + 1 >= len(words) or ((hashes[i] * int(_B) ^ hashes[i + k + 1]) & ((1 << 64) - 1)) % BITMAP not in gaps:
-                continue
-            start, end = words[i + 1].start(), words[i + k].start() + len(words[i + k].group(0).rstrip(",;:.!?"))
-            filler = text[start:end]
-            if not CANDIDATE.search(filler) and not SENTENCE.search(filler):
-                yield _context(text, start, end, False)[0], xxhash.xxh64_intdigest(filler) >> 1
+    w = np.array([xxhash.xxh64_intdigest(_masked(m.group(0))) for m in words], np.uint64)
+    for k in range(1, FILLER_WORDS + 1):
+        n = max(len(w) - k - 2, 0)
+        at = np.arange(n)
+        for way, h, before in ((1, _three(w[at], w[at + k + 1], w[at + k + 2], 1), at), (2, _three(w[at], w[at + 1], w[at + k + 2], 2), at + 1)):
+            for i in before[[int(x) % BITMAP in gaps for x in h.tolist()]].tolist() if n else ():
+                start, end = words[i + 1].start(), words[i + k].start() + len(words[i + k].group(0).rstrip(",;:.!?"))
+                filler = text[start:end]
+                if not CANDIDATE.search(filler) and not SENTENCE.search(filler):
+                    yield _context(text, start, end, False)[0], xxhash.xxh64_intdigest(filler) >> 1
 
 
 def _second(gaps: np.ndarray, runs: np.ndarray):
