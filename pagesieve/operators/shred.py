@@ -1,10 +1,10 @@
 """Columnar shredding of nested records into related flat tables.
 
-A nested Arrow column is shredded into one sequence of levels per repeated path: for each slot a
+A nested Arrow column is shredded into one sequence of levels per leaf path: for each slot a
 *repetition level* (at which list the path repeats; 0 starts a record) and a *definition level* (how much of
 the path is there), as column stores keep them. Everything after that works on the sequences alone: the flat table
-of a repeated ancestor has one row per slot whose element is defined, the position at each list follows from
-the repetition levels, and so every row knows its record, its parent's position and its own.
+of a repeated ancestor is put together from the sequences of the leaves below it, with one row per slot that opens a defined element; the position at
+each list follows from the repetition levels, and so every row knows its record, its parent's position and its own.
 
 Defined results: null containers, null lists and empty lists give no row; null elements give no row but
 keep their position; empty objects are rows; a single object in place of a list has position 0; other columns
@@ -91,38 +91,77 @@ def walk(values: pa.Array, path: str) -> Levels:
     return at
 
 
-def table_rows(levels: Levels) -> dict[str, np.ndarray]:
-    """Record, parent position (-1 at the outermost list) and position of the rows of a repeated path, and where their values are."""
-    on = levels.present()
-    parent = levels.position(levels.depth - 1) if levels.depth > 1 else np.full(len(on), -1)
-    return {"record": levels.record()[on], "parent_no": parent[on], "item_no": levels.position(levels.depth)[on], "index": levels.index[on]}
+@dataclass
+class Ancestor:
+    """A repeated ancestor: lists on the way to it and the definition level of its elements."""
+
+    depth: int
+    defined: int
+
+
+def shred(values: pa.Array) -> tuple[dict[str, Levels], dict[str, Ancestor]]:
+    """Levels of every leaf path of a nested column, and its repeated ancestors. A map is a leaf."""
+    leaves: dict[str, Levels] = {}
+    repeated: dict[str, Ancestor] = {}
+
+    def down(at: Levels, path: str) -> None:
+        t = at.values.type
+        if pa.types.is_struct(t):
+            for f in t:
+                down(field(at, f.name), f"{path}.{f.name}" if path else f.name)
+        elif pa.types.is_list(t) or pa.types.is_large_list(t):
+            inner = elements(at)
+            repeated[path + "[]"] = Ancestor(inner.depth, inner.defined)
+            down(inner, path + "[]")
+        else:
+            leaves[path] = at
+
+    down(root(values), "")
+    return leaves, repeated
+
+
+def rebuilt(leaves: dict[str, Levels], ancestor: Ancestor, path: str) -> tuple[dict[str, np.ndarray], dict[str, pa.Array]]:
+    """The flat table of a repeated ancestor: record, parent_no, item_no of its rows, and the leaves that belong to them alone."""
+    below = {p: at for p, at in leaves.items() if p == path or p.startswith(path + ".")}
+    # any leaf below tells where elements begin; deeper lists only add slots that repeat at deeper levels
+    at = next(iter(below.values()))
+    on = (at.rep <= ancestor.depth) & (at.definition >= ancestor.defined)
+    parent = at.position(ancestor.depth - 1)[on] if ancestor.depth > 1 else np.full(int(on.sum()), -1)
+    rows = {"record": at.record()[on], "parent_no": parent, "item_no": at.position(ancestor.depth)[on]}
+    cells = {}
+    for p, leaf in below.items():
+        if "[]" in p[len(path) :]:
+            continue
+        mine = leaf.index[(leaf.rep <= ancestor.depth) & (leaf.definition >= ancestor.defined)]
+        cells[p[len(path) :].lstrip(".") or "value"] = leaf.values.take(pa.array(mine, mask=mine < 0))
+    return rows, cells
 
 
 #: Repeated paths of an observation's input, by the name of their table.
 OBSERVATION_PATHS = {"redirect": "redirects[]", "form": "forms.items[]", "anchor": "anchors.items[]", "form_input": "forms.items[].inputs[]", "form_button": "forms.items[].buttons[]"}
 
-# One number for (child, parent_no, item_no): lists stay below 2^28 entries, forms below 2^28.
 _CHILDREN = list(OBSERVATION_PATHS)
-_SHIFT = 28
+#: Positions of the child rows of a record: which table, parent's position, own position.
+POSITIONS = "array<struct<child:tinyint,parent_no:int,item_no:int>>"
 
 
-def packed_children(inputs: pa.Array) -> pa.Array:
-    """For each record the rows of all its child tables, packed as numbers."""
-    record, packed = [], []
-    for k, path in enumerate(OBSERVATION_PATHS.values()):
-        rows = table_rows(walk(inputs, path))
-        record.append(rows["record"])
-        packed.append((k << 2 * _SHIFT) | ((rows["parent_no"].astype(np.int64) + 1) << _SHIFT) | rows["item_no"].astype(np.int64))
-    of, what = np.concatenate(record), np.concatenate(packed)
+def child_positions(inputs: pa.Array) -> pa.Array:
+    """For each record the positions of the rows of all its child tables."""
+    leaves, repeated = shred(inputs)
+    tables = [rebuilt(leaves, repeated[path], path)[0] for path in OBSERVATION_PATHS.values()]
+    of = np.concatenate([t["record"] for t in tables])
+    child = np.repeat(np.arange(len(tables)), [len(t["record"]) for t in tables])
+    parent, item = (np.concatenate([t[c] for t in tables]) for c in ("parent_no", "item_no"))
     order = np.argsort(of, kind="stable")
+    rows = pa.StructArray.from_arrays([pa.array(child[order].astype(np.int8)), pa.array(parent[order].astype(np.int32)), pa.array(item[order].astype(np.int32))], names=["child", "parent_no", "item_no"])
     counts = np.bincount(of, minlength=len(inputs))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(what[order]))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), rows)
 
 
-def packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def position_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: (id, at, input) to (id, at, children)."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("at"), packed_children(b.column("input"))], names=["id", "at", "children"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("at"), child_positions(b.column("input"))], names=["id", "at", "children"])
 
 
 _TEXT = pa.string()
@@ -201,31 +240,33 @@ def payload_inputs(payloads: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array(read, INPUT_TYPE), np.array([r is not None for r in read], bool)
 
 
-def packed_payload_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (id, at, payload) to (id, at, children) of the readable payloads."""
+def payload_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (id, at, payload) to (id, at, input) of the readable payloads."""
     for b in batches:
         inputs, ok = payload_inputs(b.column("payload"))
-        out = pa.RecordBatch.from_arrays([b.column("id"), b.column("at"), packed_children(inputs)], names=["id", "at", "children"])
-        yield out.filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("at"), inputs], names=["id", "at", "input"]).filter(pa.array(ok))
 
 
-def child_columns():
-    """Columns that unpack ``packed``: child, parent_no, item_no."""
-    from pyspark.sql import functions as F
-
-    p, mask = F.col("packed"), (1 << _SHIFT) - 1
-    child = F.element_at(F.array(*[F.lit(c) for c in _CHILDREN]), (F.shiftright(p, 2 * _SHIFT) + 1).cast("int"))
-    return [child.alias("child"), (F.shiftright(p, _SHIFT).bitwiseAND(F.lit(mask)) - 1).cast("int").alias("parent_no"), p.bitwiseAND(F.lit(mask)).cast("int").alias("item_no")]
+def payload_position_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (id, at, payload) to (id, at, children) of the readable payloads."""
+    yield from position_batches(payload_batches(batches))
 
 
-def child_rows(packed):
+def child_rows(positions):
     """(id, child, parent_no, item_no) from (id, at, children): each id once, in its latest state."""
     from pyspark.sql import functions as F
 
-    last = packed.groupBy("id").agg(F.max_by("children", F.struct("at", F.xxhash64("children"))).alias("children"))
-    return last.select("id", F.explode("children").alias("packed")).select("id", *child_columns())
+    last = positions.groupBy("id").agg(F.max_by("children", F.struct("at", F.xxhash64("children"))).alias("children"))
+    names = F.array(*[F.lit(c) for c in _CHILDREN])
+    rows = last.select("id", F.explode("children").alias("c"))
+    return rows.select("id", F.element_at(names, F.col("c.child").cast("int") + 1).alias("child"), "c.parent_no", "c.item_no")
 
 
+#: Containers of a record as a Spark type, in the one form of ``INPUT_TYPE``.
+INPUT_DDL = (
+    "struct<redirects:array<struct<status_code:bigint,url:string>>,forms:struct<items:array<struct<method:string,action:string,name:string,id:string,text:string,inputs:array<map<string,string>>,buttons:array<string>>>>,"
+    "anchors:struct<items:array<struct<text:string,href:string,title:string,aria_label:string>>>>"
+)
 #: Value columns of the flat tables.
 TABLE_COLUMNS = {
     "redirect": "status_code bigint, url string",
@@ -234,35 +275,27 @@ TABLE_COLUMNS = {
     "form_input": "attributes map<string,string>",
     "form_button": "label string",
 }
-_FIELD_OF = {"form_id": "id"}
+_LEAF_OF = {"form_id": "id", "attributes": "value", "label": "value"}
 
 
 def table_batches(name: str):
-    """For mapInArrow: (id, at, input) to the flat table ``name`` (id, at, parent_no, item_no, values)."""
+    """For mapInArrow: (id, input) to the flat table ``name`` (id, parent_no, item_no, values)."""
     columns = [c.split()[0] for c in TABLE_COLUMNS[name].split(", ")]
+    path = OBSERVATION_PATHS[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            levels = walk(b.column("input"), OBSERVATION_PATHS[name])
-            rows = table_rows(levels)
+            leaves, repeated = shred(b.column("input"))
+            rows, cells = rebuilt(leaves, repeated[path], path)
             of = pa.array(rows["record"].astype(np.int64))
-            values = levels.values.take(pa.array(rows["index"].astype(np.int64)))
-            cells = [values] if len(columns) == 1 else [pc.struct_field(values, _FIELD_OF.get(c, c)) for c in columns]
+            values = [cells[_LEAF_OF.get(c, c)] for c in columns]
             if name == "redirect":
-                cells[0] = pc.cast(cells[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(of), b.column("at").take(of), pa.array(rows["parent_no"].astype(np.int32)), pa.array(rows["item_no"].astype(np.int32)), *cells], names=["id", "at", "parent_no", "item_no", *columns])
+                values[0] = pc.cast(values[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(of), pa.array(rows["parent_no"].astype(np.int32)), pa.array(rows["item_no"].astype(np.int32)), *values], names=["id", "parent_no", "item_no", *columns])
 
     return run
 
 
-def flat_table(observations, name: str):
-    """The flat table ``name`` of observations (id, captured_at, ingested_at, input): each id in its latest state."""
-    from pyspark.sql import functions as F
-
-    last = observations.groupBy("id").agg(F.max(F.struct("captured_at", "ingested_at")).alias("at"))
-    rows = observations.select("id", F.struct("captured_at", "ingested_at").alias("at"), "input").mapInArrow(
-        table_batches(name), f"id string, at struct<captured_at:timestamp_ntz,ingested_at:timestamp_ntz>, parent_no int, item_no int, {TABLE_COLUMNS[name]}"
-    )
-    values = [c.split()[0] for c in TABLE_COLUMNS[name].split(", ")]
-    # equal rows of one state (a record stored twice) are one row
-    return rows.join(last, ["id", "at"], "left_semi").groupBy("id", "parent_no", "item_no").agg(*[F.first(c).alias(c) for c in values])
+def flat_table(records, name: str):
+    """The flat table ``name`` of records (id, input), each id once."""
+    return records.mapInArrow(table_batches(name), f"id string, parent_no int, item_no int, {TABLE_COLUMNS[name]}")

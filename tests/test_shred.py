@@ -42,10 +42,8 @@ def _expected(v):
     return out
 
 
-def _unpack(n):
-    names = list(shred.OBSERVATION_PATHS)
-    mask = (1 << 28) - 1
-    return names[n >> 56], ((n >> 28) & mask) - 1, n & mask
+def _row(r):
+    return list(shred.OBSERVATION_PATHS)[r["child"]], r["parent_no"], r["item_no"]
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -54,7 +52,7 @@ def test_levels_give_the_rows_of_a_plain_walk(seed):
     values = [_random_input(rng) for _ in range(200)]
     arrow = pa.array(values, shred.INPUT_TYPE)
     for a, v in ((arrow, values), (arrow.slice(37, 90), values[37:127])):  # slices have offsets
-        got = [{_unpack(n) for n in r} for r in shred.packed_children(a).to_pylist()]
+        got = [{_row(n) for n in r} for r in shred.child_positions(a).to_pylist()]
         assert got == [_expected(x) for x in v]
 
 
@@ -86,7 +84,7 @@ def test_payload_shapes(payload, rows):
     for text in (json.dumps(payload), json.dumps(json.dumps(payload))):
         inputs, ok = shred.payload_inputs(pa.array([text, None, "{cut", "3"]))
         assert ok.tolist() == [True, False, False, False]
-        assert {_unpack(n) for n in shred.packed_children(inputs)[0].as_py()} == rows
+        assert {_row(n) for n in shred.child_positions(inputs)[0].as_py()} == rows
 
 
 def test_keys_in_two_spellings():
@@ -95,16 +93,31 @@ def test_keys_in_two_spellings():
 
 
 def test_empty_column():
-    assert shred.packed_children(pa.array([], shred.INPUT_TYPE)).to_pylist() == []
-    assert shred.packed_children(pa.array([None], shred.INPUT_TYPE)).to_pylist() == [[]]
+    assert shred.child_positions(pa.array([], shred.INPUT_TYPE)).to_pylist() == []
+    assert shred.child_positions(pa.array([None], shred.INPUT_TYPE)).to_pylist() == [[]]
 
 
 def test_long_record():
     a = pa.array([{"anchors": {"items": [{"text": "x"}] * 50_000}}], shred.INPUT_TYPE)
-    got = shred.packed_children(a)[0].as_py()
-    assert len(got) == 50_000 and _unpack(got[-1]) == ("anchor", -1, 49_999)
+    got = shred.child_positions(a)[0].as_py()
+    assert len(got) == 50_000 and _row(got[-1]) == ("anchor", -1, 49_999)
 
 
 def test_latest_state_of_an_id_counts(spark):
-    df = spark.createDataFrame([("a", 1, [1, 2]), ("a", 2, [3]), ("b", 1, [])], "id string, at int, children array<bigint>")
-    assert {(r["id"], r["item_no"]) for r in shred.child_rows(df).collect()} == {("a", 3)}
+    df = spark.createDataFrame([("a", 1, [(0, -1, 1), (0, -1, 2)]), ("a", 2, [(1, -1, 3)]), ("b", 1, [])], f"id string, at int, children {shred.POSITIONS}")
+    assert {(r["id"], r["child"], r["item_no"]) for r in shred.child_rows(df).collect()} == {("a", "form", 3)}
+
+
+def test_every_leaf_has_levels_and_tables_are_rebuilt_from_any():
+    rng = random.Random(9)
+    values = [_random_input(rng) for _ in range(80)]
+    leaves, repeated = shred.shred(pa.array(values, shred.INPUT_TYPE))
+    assert set(repeated) == set(shred.OBSERVATION_PATHS.values()) and len(leaves) == 13
+    forms = [x for x in leaves if x.startswith("forms.items[].")]
+    for leaf in forms:  # those of deeper lists too
+        rows, _ = shred.rebuilt({leaf: leaves[leaf]}, repeated["forms.items[]"], "forms.items[]")
+        want = [(i, -1, k) for i, v in enumerate(values) for k, f in enumerate(((v or {}).get("forms") or {}).get("items") or []) if f is not None]
+        assert list(zip(*(rows[c].tolist() for c in ("record", "parent_no", "item_no")))) == want
+    rows, cells = shred.rebuilt(leaves, repeated["anchors.items[]"], "anchors.items[]")
+    want = [a["href"] for v in values for a in ((v or {}).get("anchors") or {}).get("items") or [] if a is not None]
+    assert cells["href"].to_pylist() == want and set(cells) == {"text", "href", "title", "aria_label"}
