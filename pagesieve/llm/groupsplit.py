@@ -37,36 +37,41 @@ ALONE = "\x00"
 SALTS = 64
 
 
-def difference(tuples: list[list[tuple[float, list]]]) -> list[tuple[float, list]]:
-    """Largest differencing of k-tuples of (weight, members): the two with the largest spread are combined, heavy with light, until one is left."""
-    heap = []
-    for i, t in enumerate(tuples):
-        t = sorted(t, key=lambda p: -p[0])
-        heap.append((t[-1][0] - t[0][0], i, np.array([w for w, _ in t]), [m for _, m in t]))
+def balance(weights: list[float], bins: int) -> list[int]:
+    """Bin of each weight by largest differencing: of the tuples of ``bins`` sums the two with the largest spread are combined, heavy with light, until one is left."""
+    n = len(weights)
+    behind = np.full(n, -1)  # members of a sum are a chain
+    heap = [(-w, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    n = len(heap)
+    tuples: dict[int, tuple] = {}
+
+    def take() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, i = heapq.heappop(heap)
+        if i in tuples:
+            return tuples.pop(i)
+        alone = np.zeros(bins), np.full(bins, -1), np.full(bins, -1)
+        for column, v in zip(alone, (weights[i], i, i)):
+            column[0] = v
+        return alone
+
+    made = n
     while len(heap) > 1:
-        (_, _, wa, ma), (_, _, wb, mb) = heapq.heappop(heap), heapq.heappop(heap)
-        w = wa + wb[::-1]
-        members = []
-        for x, y in zip(ma, reversed(mb)):
-            if len(x) < len(y):
-                x, y = y, x
-            members.append([*x, *y] if y else x)
+        (wa, first_a, last_a), (wb, first_b, last_b) = take(), take()
+        w, first_b, last_b = wa + wb[::-1], first_b[::-1], last_b[::-1]
+        both = (last_a >= 0) & (first_b >= 0)
+        behind[last_a[both]] = first_b[both]
+        first, last = np.where(first_a >= 0, first_a, first_b), np.where(last_b >= 0, last_b, last_a)
         order = np.argsort(-w, kind="stable")
-        heapq.heappush(heap, (w[order[-1]] - w[order[0]], n, w[order], [members[k] for k in order]))
-        n += 1
-    return list(zip(heap[0][2].tolist(), heap[0][3])) if heap else []
-
-
-def balance(weights: list[float], bins: int) -> list[int]:
-    """Bin of each weight."""
-    out = [0] * len(weights)
-    empty = [(0.0, [])] * (bins - 1)
-    order = sorted(range(len(weights)), key=lambda i: (-weights[i], i))
-    for k, (_, members) in enumerate(difference([[(weights[i], [i]), *empty] for i in order])):
-        for i in members:
-            out[i] = k
+        w = w[order]
+        tuples[made] = w, first[order], last[order]
+        heapq.heappush(heap, (w[-1] - w[0], made))
+        made += 1
+    out = [0] * n
+    if n:
+        for k, i in enumerate(take()[1].tolist()):
+            while i >= 0:
+                out[i] = k
+                i = int(behind[i])
     return out
 
 
