@@ -39,6 +39,12 @@ _BID = re.compile(r"\bdata-bid\s*=\s*[\"']?(\d+)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]{3,}")
+# Words of which names of containers are made everywhere on the web. Other names, as site builders invent them, say nothing.
+NAME_STEMS = (
+    "nav menu foot head side aside cookie consent notice privacy share social follow relat popular recent trend widget crumb legal copyright imprint banner promo advert sponsor newsletter subscribe login search "
+    "tool toolbar dialog modal popup overlay skip lang topbar bottom colophon rail link more extra "
+    "content main article post body story entry text page wrap inner container col row list card table comment author meta title info site layout note end bar top dropdown tags"
+).split()
 CONTAINERS = frozenset("body div section nav header footer aside main article ul ol dl table tbody td form figure center fieldset".split())
 _CELL_ENDS = {"td": ("td",), "tr": ("td",), "th": ("td",)}
 #: Text-bearing elements, where a page does not number its blocks.
@@ -60,7 +66,7 @@ LEXICONS = {
 class Page:
     """Blocks of one page and the containers they stand in."""
 
-    __slots__ = ("bids", "tags", "texts", "container", "hrefs", "separated", "parents", "names", "kinds")
+    __slots__ = ("bids", "tags", "texts", "container", "hrefs", "separated", "parents", "names", "kinds", "depths")
 
     def __init__(self) -> None:
         self.bids: list[int] = []
@@ -72,12 +78,12 @@ class Page:
         self.parents: list[int] = [-1]
         self.names: list[str] = [""]
         self.kinds: list[str] = ["page"]
+        self.depths: list[int] = [0]
 
 
 def parse(source: str) -> Page:
     page = Page()
-    at = source.find("<body")
-    pos = max(at, 0)
+    pos = 0
     stack = [(0, "page")]
     numbered = "data-bid" in source
     parts: list[str] = []
@@ -148,6 +154,7 @@ def parse(source: str) -> Page:
                 page.parents.append(stack[-1][0])
                 page.names.append(names.lower())
                 page.kinds.append(name)
+                page.depths.append(len(stack))
                 stack.append((len(page.kinds) - 1, name))
         elif open_tag:
             if name in ("label", "button", "input", "select", "option", "p", "li", "h1", "h2", "h3"):
@@ -175,6 +182,12 @@ def _codes(table: dict[str, int], values: list[str]) -> np.ndarray:
     return np.array([table.setdefault(v, len(table)) for v in values], np.int64)
 
 
+@lru_cache(maxsize=1 << 16)
+def _stems(names: str) -> tuple[str, ...]:
+    """The listed words that the names of a container begin with."""
+    return tuple(sorted({stem for w in _WORD.findall(names) for stem in NAME_STEMS if w.startswith(stem)}))
+
+
 class Blocks:
     """Blocks of many pages in flat arrays, with the features of each."""
 
@@ -207,14 +220,14 @@ class Blocks:
         # what containers hold, with all that is within them
         size = len(parent)
         hold = {k: np.zeros(size) for k in ("blocks", "links", "sentences", "h1")}
-        at = box.copy()
-        for _ in range(64):
-            live = at >= 0
-            if not live.any():
-                break
-            for k, v in (("blocks", None), ("links", link), ("sentences", sentence), ("h1", is_h1)):
-                hold[k] += np.bincount(at[live], None if v is None else v[live], size)
-            at = np.where(live, parent[at], -1)
+        # containers by depth, each level at once: what a container holds goes to its parent, however deep it stands
+        depth_of = np.array([d for p in pages for d in p.depths], np.int64)
+        by_depth = np.argsort(depth_of, kind="stable")
+        levels = [x for x in np.split(by_depth, np.cumsum(np.bincount(depth_of))[:-1])] if size else []
+        for k, v in (("blocks", None), ("links", link), ("sentences", sentence), ("h1", is_h1)):
+            hold[k] += np.bincount(box, v, size)
+            for level in reversed(levels[1:]):
+                np.add.at(hold[k], parent[level], hold[k][level])
         boxes = [box]
         for _ in range(3):
             boxes.append(np.where(boxes[-1] >= 0, parent[boxes[-1]], -1))
@@ -222,7 +235,7 @@ class Blocks:
         kind = _codes(kind_table, kinds)
         kind_names = list(kind_table)
         tokens: dict[str, int] = {}
-        box_tokens = [[tokens.setdefault(w, len(tokens)) for w in set(_WORD.findall(s))] if s else [] for s in names]
+        box_tokens = [[tokens.setdefault(w, len(tokens)) for w in _stems(s)] if s else [] for s in names]
         token_names = list(tokens)
         token_count = np.array([len(x) for x in box_tokens], np.int64)
         token_start = np.cumsum(token_count) - token_count
@@ -268,11 +281,8 @@ class Blocks:
         above = {k: np.zeros(size, bool) for k in ("nav", "footer", "header", "aside", "main", "article", "form", "ul", "table")}
         for k, flags in above.items():
             flags[:] = kind == kind_table.get(k, -1)
-            for _ in range(12):
-                grown = flags | np.where(parent >= 0, flags[parent], False)
-                if (grown == flags).all():
-                    break
-                flags[:] = grown
+            for level in levels[1:]:
+                flags[level] |= flags[parent[level]]
             flag(f"in_{k}", flags[box] if n else np.zeros(0, bool))
         add("with_h1", np.minimum(wraps, 3))
         # the way from the first headline
@@ -360,10 +370,14 @@ def log_likelihood(score: np.ndarray, step: np.ndarray, there: np.ndarray, label
     return total, g_score, g_trans
 
 
-def fit(blocks: Blocks, label: np.ndarray, rounds: int = 250, l2: float = 0.5, rare: int = 4) -> dict:
-    """Weights by gradient ascent with adaptive steps on the penalized log-likelihood."""
-    seen = np.bincount(blocks.ids, minlength=len(blocks.labels))
-    keep = seen >= rare
+def fit(blocks: Blocks, label: np.ndarray, site: np.ndarray | None = None, rounds: int = 250, l2: float = 0.5, rare: int = 8) -> dict:
+    """Weights by gradient ascent with adaptive steps on the penalized log-likelihood.
+
+    A feature counts if at least ``rare`` sites (``site`` has a number for each page; pages, if not given) have it.
+    """
+    of = (np.arange(len(blocks.count)) if site is None else site)[blocks.page[blocks.rows]]
+    pairs = np.unique(blocks.ids * (int(of.max(initial=0)) + 1) + of)
+    keep = np.bincount(pairs // (int(of.max(initial=0)) + 1), minlength=len(blocks.labels)) >= rare
     w, bias, trans = np.zeros(len(blocks.labels)), 0.0, np.zeros((3, 2, 2))
     (step, there), (y, _) = _padded(blocks, blocks.step), _padded(blocks, label.astype(np.int64))
     theta = np.concatenate([w, [bias], trans.ravel()])
@@ -456,6 +470,59 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
+def _all_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = load()
+    for b in batches:
+        for start in range(0, b.num_rows, 1000):
+            part = b.slice(start, 1000)
+            blocks = Blocks([parse(s or "") for s in part.column("html").to_pylist()])
+            offsets = pa.array(np.append(0, np.cumsum(blocks.count)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(blocks.texts, pa.string()), pa.array(body_flags(blocks, model)))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *lists], names=["id", "texts", "body"])
+
+
+def visible_body(visible: str, texts: list[str], body: list[bool]) -> str:
+    """The body within a page's visible text, which holds the texts of its blocks one after the other and may be cut off.
+
+    Blocks are looked for in order; what stands between them (labels, buttons) belongs to no block. A block at the cut is kept as far as it goes.
+    """
+    out, at = [], 0
+    visible = " ".join(visible.split())
+    for t, keep in zip(texts, body):
+        if not t:
+            continue
+        found = visible.find(t, at)
+        if found < 0:  # at the cut: what is left is the beginning of the block
+            rest = visible[at:].strip()
+            for k in range(len(rest)):
+                if t.startswith(rest[k:]) and (k == 0 or rest[k - 1] == " "):
+                    out += [rest[k:]] * keep
+                    return "\n".join(out)
+            continue
+        if keep:
+            out.append(t)
+        at = found + len(t)
+    return "\n".join(out)
+
+
+def _visible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = zip(*(b.column(c).to_pylist() for c in ("visible", "texts", "body")))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([None if v is None else v if t is None else visible_body(v, t, f) for v, t, f in rows], pa.string())], names=["id", "body"])
+
+
+def visible_bodies(pages: DataFrame, ident: str, html: str, records: DataFrame, record_id: str, visible: str) -> DataFrame:
+    """(id, body): the body of ``visible``, the text of a page without its markup, by the blocks of the page of the same id.
+
+    The visible text of a record without a page stays as it is; null stays null. Repeated pages of an id have one content, of which one is taken.
+    """
+    rows = pages.where(F.col(html).isNotNull() & (F.length(html) > 0)).select(F.col(ident).alias("id"), F.col(html).alias("html"))
+    blocks = rows.mapInArrow(_all_blocks, "id string, texts array<string>, body array<boolean>")
+    one = blocks.groupBy("id").agg(F.max(F.struct("texts", "body")).alias("b")).select("id", "b.texts", "b.body")
+    joined = records.select(F.col(record_id).alias("id"), F.col(visible).alias("visible")).join(one, "id", "left")
+    return joined.mapInArrow(_visible, "id string, body string")
+
+
 def page_bodies(pages: DataFrame, ident: str, html: str) -> DataFrame:
     """(id, bids, texts) of every row with html: numbers and texts of its body blocks, in order."""
     rows = pages.where(F.col(html).isNotNull() & (F.length(html) > 0)).select(F.col(ident).alias("id"), F.col(html).alias("html"))

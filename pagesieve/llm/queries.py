@@ -79,6 +79,12 @@ def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(spark, sf_dir).select("id", text.alias("body")).groupBy("id").agg(F.max("body").alias("body"))
 
 
+def p4_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body of the visible text of every observation, a block a line."""
+    seen = _latest_inputs(spark, sf_dir, ["visible_text"])
+    return mainbody.visible_bodies(table(spark, sf_dir, "page_docs"), "id", "html", seen, "id", "visible_text")
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.split_overlaps(table(spark, sf_dir, "grad_rows"), "id", "split", "url", "clean_text", "source")
 
@@ -176,7 +182,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_contributors, p2_found, p2_kinds, p3_found, p3_forms, p4_found, p4_bodies, p5_found, p5_report, p6_found, p6_splits, p6_records, p6_shares, p8_found, p8_items, p8_clean, p9_mix, p9_report, p10_found, p10_statistics)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_contributors, p2_found, p2_kinds, p3_found, p3_forms, p4_found, p4_bodies, p4_visible, p5_found, p5_report, p6_found, p6_splits, p6_records, p6_shares, p8_found, p8_items, p8_clean, p9_mix, p9_report, p10_found, p10_statistics)}
 
 
 def _domain_sql(address: str) -> str:

@@ -100,3 +100,40 @@ def test_fitting_learns(spark):
     y = np.array([int(b in (4, 5, 8, 9, 10, 11, 12)) for b in blocks.bids])
     model = M.fit(blocks, y, rounds=60)
     assert (M.body_flags(blocks, (model["weights"], np.array(model["transitions"]))) == (y == 1)).all()
+
+
+def test_containers_however_deep():
+    nav = '<nav><a data-bid="0" href="/a">Home</a></nav>'
+    for depth in (3, 14, 80, 400):
+        deep = "<nav>" + "<div>" * depth + '<a data-bid="0" href="/a">Home</a>' + "</div>" * depth + "</nav>"
+        b = M.Blocks([M.parse(f"<body>{deep}<main><h1 data-bid='1'>Head of it</h1></main></body>")])
+        on = {b.labels[i] for r, i in zip(b.rows, b.ids) if r == 0}
+        assert "in_nav=1" in on
+    b = M.Blocks([M.parse(f"<body>{nav}" + "<div>" * 100 + "<p data-bid='1'>One whole sentence stands here.</p>" * 5 + "</div>" * 100 + "</body>")])
+    shapes = {b.labels[i] for r, i in zip(b.rows, b.ids) if r == 1 and b.labels[i].startswith("shape")}
+    assert len({x.split("=")[1] for x in shapes}) == 1  # all the containers around hold the same
+
+
+def test_body_tags_in_comments_and_capitals():
+    page = "<html><!-- <body> --><script>'<body>'</script><BODY><P data-bid=3>Text of it.</P><!-- <body> --><p data-bid=4>More.</p></BODY>"
+    assert M.parse(page).bids == [3, 4] and [M._clean(x) for x in M.parse(page).texts] == ["Text of it.", "More."]
+
+
+def test_invented_names_say_nothing():
+    a, b = (M.Blocks([M.parse(f"<body><div class='{c}'><p data-bid=1>Text of it.</p></div></body>")]) for c in ("zyawdx", "footer-links"))
+    assert not [x for x in a.labels if x.startswith("name")] and "name0=foot" in b.labels
+
+
+def test_visible_text():
+    texts, body = ["Home", "Head", "One text.", "Menu", "Two text goes on."], [False, True, True, False, True]
+    assert M.visible_body("Home Head One text. Send Menu Two text goes on.", texts, body) == "Head\nOne text.\nTwo text goes on."
+    assert M.visible_body("Home Head One text. Menu Two text go", texts, body) == "Head\nOne text.\nTwo text go"
+    assert M.visible_body("", texts, body) == "" and M.visible_body("Home", texts, body) == ""
+
+
+def test_visible_bodies(spark):
+    pages = spark.createDataFrame([("a", PAGE), ("a", PAGE), ("n", None)], "id string, html string")
+    seen = spark.createDataFrame([("a", "Home Help centre Home > Help > Opening hours of Rasnest The billing portal explains the second"), ("n", "just text"), ("z", None)], "id string, visible string")
+    got = {r["id"]: r["body"] for r in M.visible_bodies(pages, "id", "html", seen, "id", "visible").collect()}
+    assert got == {"a": "Opening hours of Rasnest\nThe billing portal explains the second", "n": "just text", "z": None}
+    assert M.visible_bodies(pages.limit(0), "id", "html", seen.limit(0), "id", "visible").count() == 0
