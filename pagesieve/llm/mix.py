@@ -28,22 +28,23 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|
 MAX_TARGETS = 10_000
 
 
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("mix", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(df: DataFrame, ident: str, text: str, keep: list[str] = (), tokenizer: str = TOKENIZER) -> DataFrame:
-    """(ident, keep..., tokens) of every row."""
+    """(ident, keep..., tokens) of every row. The vocabulary is read here and sent out: executors need not have the file, whose size is that of a tokenizer."""
     types = dict(df.dtypes)
+    with open(tokenizer, "rb") as f:
+        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = None
         for b in batches:
-            encoding = encoding or _encoding(tokenizer)
+            encoding = encoding or _encoding(vocabulary.value)
             counts = [len(encoding.encode_ordinary(t)) if t else 0 for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (ident, *keep)), pa.array(counts, pa.int64())], names=[ident, *keep, "tokens"])
 

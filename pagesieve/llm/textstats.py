@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pagesieve.runtime import materialize
 
 KINDS = ("prose", "list", "table", "junk")
-#: Most vote patterns there can be.
-MAX_PATTERNS = 1 << 20
+#: Most vote patterns there can be (each of 20 functions votes or not), and up to how many their posteriors are broadcast.
+MAX_PATTERNS, BROADCAST = 1 << 20, 1 << 16
 SLICE_BYTES = 24 << 20
 
 # The most common words of the four languages.
@@ -270,7 +270,9 @@ def text_kinds(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, kind, probability, prose, list, table, junk): posterior text kinds of every row."""
     voted = text_statistics(docs, ident, text).select(ident, "votes")
     voted = materialize(voted, "kinds")
-    rows = voted.groupBy("votes").count().collect()  # at most MAX_PATTERNS
+    rows = voted.groupBy("votes").count().limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError("more vote patterns than labelling functions can give")
     rows.sort(key=lambda r: r["votes"])
     if not rows:
         return voted.select(ident, F.lit("").alias("kind"), *[F.lit(0.0).alias(c) for c in ("probability", *KINDS)])
@@ -279,5 +281,5 @@ def text_kinds(docs: DataFrame, ident: str, text: str) -> DataFrame:
     best = posterior.argmax(axis=1)
     table = [(r["votes"], KINDS[b], float(p[b]), *map(float, p)) for r, b, p in zip(rows, best, posterior)]
     known = docs.sparkSession.createDataFrame(table, "votes string, kind string, probability double, " + ", ".join(f"`{k}` double" for k in KINDS))
-    # one row a pattern, at most MAX_PATTERNS
-    return voted.join(F.broadcast(known), "votes").drop("votes")
+    # one row a pattern; more than BROADCAST of them are joined the ordinary way
+    return voted.join(F.broadcast(known) if len(table) <= BROADCAST else known, "votes").drop("votes")

@@ -39,3 +39,27 @@ def test_operator(spark):
     assert len(out) == len(rows) - 1 and out[900]["kind"] == "prose" and out[900]["probability"] == 0.25
     assert T.text_kinds(df, "doc_id", "text").count() == len(rows)
     assert T.text_kinds(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_posteriors_by_an_ordinary_join(spark, monkeypatch):
+    rows = [(k, "The parcel is ready and it is at the desk of the shop. We keep it for you until the end of the week.") for k in range(20)] + [(30, "a,b,c\n1,2,3\n4,5,6\n7,8,9"), (31, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    a = sorted(map(tuple, T.text_kinds(df, "doc_id", "text").collect()))
+    monkeypatch.setattr(T, "BROADCAST", 0)
+    assert sorted(map(tuple, T.text_kinds(df, "doc_id", "text").collect())) == a and len(a) == 22
+
+
+def test_agreement_with_hand_labels(spark):
+    """The functions see no labels; some of the labels are wrong on purpose."""
+    import os
+
+    import pytest
+
+    tables = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{tables}/doc_labels.parquet"):
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(f"{tables}/doc_labels.parquet").select("doc_id", "kind").distinct()
+    docs = spark.read.parquet(f"{tables}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id")
+    got = T.text_kinds(docs, "doc_id", "text").select("doc_id", T.F.col("kind").alias("found")).join(labels, "doc_id")
+    by_doc = got.groupBy("doc_id").agg(T.F.max(T.F.col("found") == T.F.col("kind")).alias("agrees"))
+    assert by_doc.agg(T.F.avg(T.F.col("agrees").cast("int"))).first()[0] > 0.9
