@@ -7,13 +7,17 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagesieve.operators.curation import hash_rank
 
 
+#: Most attributes in the header of a file.
+MOST_ATTRIBUTES = 10_000
+
+
 def collections(readers: dict[str, DataFrame], name: str = "all") -> DataFrame:
     """One named collection or all of them, with their name as ``source``."""
     if name != "all" and name not in readers:
@@ -57,7 +61,9 @@ def csv(spark: SparkSession, path: str, schema: str, required: list[str] = (), l
 def arff(spark: SparkSession, path: str) -> DataFrame:
     """Attribute-relation file: numeric attributes as double, others as text; ``?`` is null."""
     lines = spark.read.text(path).select(F.trim("value").alias("v")).where((F.col("v") != "") & ~F.startswith("v", F.lit("%")))
-    heads = [r["v"] for r in lines.where(F.lower("v").rlike(r"^@attribute\s")).limit(10_000).collect()]  # a header
+    heads = [r["v"] for r in lines.where(F.lower("v").rlike(r"^@attribute\s")).limit(MOST_ATTRIBUTES + 1).collect()]
+    if len(heads) > MOST_ATTRIBUTES:
+        raise ValueError(f"more than {MOST_ATTRIBUTES} attributes")
     names = []
     for h in heads:
         rest = h.split(None, 1)[1].strip()
@@ -103,7 +109,11 @@ def zip_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def dir_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page, url, html) of a directory of sites with ``html.txt`` and ``info.txt`` each."""
-    address = F.udf(_address, "string")  # one short text a site
+    def addresses(texts):
+        return texts.map(_address, na_action="ignore")
+
+    addresses.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    address = F.pandas_udf(addresses, "string")
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
     f = f.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("page"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("text"))
     html, info = f.where("file = 'html.txt'").select("page", F.col("text").alias("html")), f.where("file = 'info.txt'").select("page", address("text").alias("url"))
@@ -142,3 +152,29 @@ def gunzip(column: str) -> Column:
 
     read.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(read, "string")(column)
+
+
+def keyset_page(df: DataFrame, ident: str, after: str | None, size: int) -> DataFrame:
+    """The next ``size`` rows in the order of ``ident`` behind ``after`` (None: from the beginning)."""
+    behind = df.where(F.col(ident) > F.lit(after)) if after is not None else df
+    return behind.orderBy(ident).limit(size)
+
+
+def keyset_scan(df: DataFrame, ident: str, size: int) -> Iterator[DataFrame]:
+    """All pages one after the other, for a consumer that takes a page at a time; a scan of everything needs no order."""
+    after = None
+    while True:
+        page = keyset_page(df, ident, after, size)
+        last = page.agg(F.max(ident)).first()[0]
+        if last is None:
+            return
+        yield page
+        after = last
+
+
+def until_quotas(df: DataFrame, group: str, ident: str, quotas: dict[str, int]) -> DataFrame:
+    """The first rows of each group in the order of ``ident``, as many as its quota; other groups give none."""
+    most = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    wanted = df.where(F.col(group).isin(list(quotas)))
+    # a limit on the rank within the group is applied before the shuffle, too
+    return wanted.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(ident))).where(F.col("_n") <= F.try_element_at(most, F.col(group))).drop("_n")
