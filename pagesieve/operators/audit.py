@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesieve.runtime import running_sums
+
+# Thresholds of purity and information, and the quantiles that are tried as thresholds.
 HIGH_PURITY, MEDIUM_PURITY, HIGH_NMI, MEDIUM_NMI = 0.95, 0.85, 0.25, 0.10
 QUANTILES = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 
@@ -102,7 +105,7 @@ def measure_splits(df: DataFrame, label: str, measures: list[str]) -> DataFrame:
     # running counts per label over the distinct values: what lies at or above a value
     labels = F.map_from_entries(F.collect_list(F.struct(label, "n")))
     values = counts.groupBy("measure", "value").agg(labels.alias("m"))
-    at = values.withColumn("rank", F.row_number().over(Window.partitionBy("measure").orderBy("value"))).withColumn("distinct", F.count("*").over(Window.partitionBy("measure")))
+    at = running_sums(values.withColumn("one", F.lit(1)), ["measure"], "value", ["one"]).withColumnsRenamed({"one_upto": "rank", "one_all": "distinct"})
     picks = F.array(*[F.floor(F.lit(q) * (F.col("distinct") - 1)).cast("int") for q in QUANTILES])
     candidates = at.where((F.col("distinct") <= 20) | F.array_contains(picks, (F.col("rank") - 1).cast("int"))).select("measure", F.col("value").alias("threshold"))
     # at most 20 thresholds a measure
@@ -127,15 +130,30 @@ def measure_summary(df: DataFrame, label: str, measures: list[str]) -> DataFrame
     """Count, mean, median and lower 90th percentile per label and measure."""
     long = df.where(F.col(label).isNotNull()).select(label, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(label, measures, "measure", "value").where(F.col("value").isNotNull())
     high = nearest_percentiles(long, ["measure", label], "value", {"p90": 0.9}, lower=True).select("measure", label, "p90")
-    rest = long.groupBy("measure", label).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"))
-    return rest.join(high, ["measure", label])
+    rest = long.groupBy("measure", label).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    middle = quantiles(long, ["measure", label], "value", {"median": 0.5}).withColumn("median", F.round("median", 6))
+    return rest.join(middle, ["measure", label]).join(high, ["measure", label])
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float]) -> DataFrame:
+    """Quantiles between the nearest ranks, in proportion, per group, over counted values: no buffer holds all values of a group."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
+    counts = running_sums(counts, keys, column, ["n"])
+    first = F.col("n_upto") - F.col("n")  # ranks of a value: from first on, before n_upto
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= first) & (rank < F.col("n_upto")), F.col(column)))
+
+    place = {k: F.lit(q) * (F.col("n_all") - 1) for k, q in wanted.items()}
+    ends = [x for k, p in place.items() for x in (at(F.floor(p)).alias(f"{k}_low"), at(F.ceil(p)).alias(f"{k}_high"), F.max(p - F.floor(p)).alias(f"{k}_part"))]
+    found = counts.groupBy(*keys).agg(*ends)
+    return found.select(*keys, *[(F.col(f"{k}_low") + F.col(f"{k}_part") * (F.col(f"{k}_high") - F.col(f"{k}_low"))).alias(k) for k in wanted])
 
 
 def nearest_percentiles(df: DataFrame, keys: list[str], column: str, quantiles: dict[str, float], lower: bool = False) -> DataFrame:
     """Nearest-rank percentiles (place rounded half to even, or down) per group, by ranks over counted values: no group is gathered."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy(column))).withColumn("total", F.sum("n").over(w))
+    counts = running_sums(counts, keys, column, ["n"]).withColumnsRenamed({"n_upto": "upto", "n_all": "total"})
     place = lambda q: (F.floor if lower else F.bround)(F.lit(q) * (F.col("total") - 1))
     at = lambda q: F.max(F.when((place(q) < F.col("upto")) & (place(q) >= F.col("upto") - F.col("n")), F.col(column)))
     return counts.groupBy(*keys).agg(F.sum("n").alias("count"), F.min(column).alias("least"), *[at(q).alias(k) for k, q in quantiles.items()], F.max(column).alias("most"), F.round(F.sum(F.col(column) * F.col("n")) / F.sum("n"), 6).alias("mean"))
@@ -184,8 +202,10 @@ def class_profiles(df: DataFrame, label: str, features: list[str], positive: str
     """Statistics of two classes per feature: means, medians, quartiles, effect size, threshold and the side on which the first lies."""
     long = df.where(F.col(label).isin(positive, negative)).select(label, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(label, features, "feature", "value")
     of = lambda v: F.when(F.col(label) == v, F.col("value"))
-    p = lambda v, q: F.percentile(of(v), q)
-    a = long.groupBy("feature").agg(F.avg(of(positive)).alias("pm"), F.avg(of(negative)).alias("nm"), p(positive, 0.5).alias("pd"), p(negative, 0.5).alias("nd"), p(positive, 0.25).alias("p1"), p(positive, 0.75).alias("p3"), p(negative, 0.25).alias("n1"), p(negative, 0.75).alias("n3"), F.stddev_pop("value").alias("sd"))
+    a = long.groupBy("feature").agg(F.avg(of(positive)).alias("pm"), F.avg(of(negative)).alias("nm"), F.stddev_pop("value").alias("sd"))
+    q = quantiles(long, ["feature", label], "value", {"q1": 0.25, "md": 0.5, "q3": 0.75})
+    by_class = q.groupBy("feature").agg(*[F.max(F.when(F.col(label) == v, F.col(c))).alias(n) for v, names in ((positive, ("p1", "pd", "p3")), (negative, ("n1", "nd", "n3"))) for c, n in zip(("q1", "md", "q3"), names)])
+    a = a.join(by_class, "feature")
     effect = (F.col("pm") - F.col("nm")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     equal = F.abs(F.col("pd") - F.col("nd")) < 1e-9
     a = a.withColumn("effect", effect).where(~((F.abs(F.col("effect")) < 0.03) & equal))
@@ -208,7 +228,7 @@ def majority(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def binned_information(df: DataFrame, label: str, features: list[str], bins: int = 10) -> DataFrame:
-    """Mutual information of equal-frequency bins of each feature with the label; also distinct values and missing share."""
+    """Mutual information of equal-frequency bins of each feature with the label."""
     cuts = df.select(*[F.percentile_approx(F.col(f).cast("double"), [i / bins for i in range(1, bins)], 100_000).alias(f) for f in features]).first()
     binned = df.where(F.col(label).isNotNull())
     out = None

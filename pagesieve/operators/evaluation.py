@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.runtime import running_sums
+
 
 def confusion(df: DataFrame, truth: str, said: str, classes: list[str]) -> DataFrame:
     """Rows by true class and column by answer; anything else is 'other'."""
@@ -35,9 +37,10 @@ def opposite_if_unparsed(truth: Column, said: Column, classes: tuple[str, str])
 def auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
     """Area under the ROC curve by ranks with ties averaged, and average precision; by counts per score, so ties cost nothing."""
     c = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(positive.cast("int")).alias("p"), F.sum((~positive).cast("int")).alias("n"))
-    # the scores are ranked in order: one window over distinct scores
-    up, down = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "tp": F.sum("p").over(down), "all": F.sum(F.col("p") + F.col("n")).over(down)})
+    c = running_sums(c, [], "s", ["p", "n"])
+    # negatives below a score, and positives and all rows from it upwards
+    c = c.withColumns({"below": F.col("n_upto") - F.col("n"), "tp": F.col("p_all") - F.col("p_upto") + F.col("p")})
+    c = c.withColumn("all", F.col("tp") + F.col("n_all") - F.col("below"))
     a = c.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"))
     return a.select(F.round(F.col("u") / F.nullif(F.col("np") * F.col("nn"), F.lit(0)), 6).alias("roc_auc"), F.round(F.col("ap") / F.nullif("np", F.lit(0)), 6).alias("average_precision"), F.col("np").alias("positives"), F.col("nn").alias("negatives"))
 

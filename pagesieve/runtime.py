@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,23 @@ def latest(df: DataFrame, key: str, order: list[str], columns: dict[str, Column]
     return picked.select(F.col("_k").alias(key), *[F.col(f"_p.{n}").alias(a) for n, a in zip(names, aliases)])
 
 
+def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """``df`` with ``<column>_upto`` and ``<column>_all``: sums over the rows of the same keys up to this one in ``order`` (unique within the keys), and over all of them.
+
+    Rows are dealt to tasks by range, summed within each range, and the sums of the ranges before are added: no task has all rows of a key,
+    and only a row a range and key is summed in one place.
+    """
+    ranged = materialize(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_range", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy("_range", *keys).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    by_key = Window.partitionBy(*keys)
+    before = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    offsets = totals.select("_range", *keys, *[x for c in columns for x in (F.coalesce(F.sum(f"_{c}").over(before), zero).alias(f"{c}_before"), F.sum(f"_{c}").over(by_key).alias(f"{c}_all"))])
+    both = ranged.withColumns({f"{c}_own": F.sum(c).over(within) for c in columns}).join(offsets, ["_range", *keys])
+    return both.withColumns({f"{c}_upto": F.col(f"{c}_before") + F.col(f"{c}_own") for c in columns}).drop("_range", *[f"{c}_{x}" for c in columns for x in ("before", "own")])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows dealt over all cores, where they come in fewer than half as many partitions (a few small files).
 
