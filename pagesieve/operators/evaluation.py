@@ -34,15 +34,16 @@ def opposite_if_unparsed(truth: Column, said: Column, classes: tuple[str, str])
     return F.when(said.isin(a, b), said).when(truth == a, F.lit(b)).otherwise(F.lit(a))
 
 
-def auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
-    """Area under the ROC curve by ranks with ties averaged, and average precision; by counts per score, so ties cost nothing."""
-    c = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(positive.cast("int")).alias("p"), F.sum((~positive).cast("int")).alias("n"))
-    c = running_sums(c, [], "s", ["p", "n"])
+def auc(df: DataFrame, positive: Column, score: str, keys: list[str] = ()) -> DataFrame:
+    """Area under the ROC curve by ranks with ties averaged, and average precision, of each group of ``keys``; by counts per score, so ties cost nothing."""
+    keys = list(keys)
+    c = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.sum(positive.cast("int")).alias("p"), F.sum((~positive).cast("int")).alias("n"))
+    c = running_sums(c, keys, "s", ["p", "n"])
     # negatives below a score, and positives and all rows from it upwards
     c = c.withColumns({"below": F.col("n_upto") - F.col("n"), "tp": F.col("p_all") - F.col("p_upto") + F.col("p")})
     c = c.withColumn("all", F.col("tp") + F.col("n_all") - F.col("below"))
-    a = c.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"))
-    return a.select(F.round(F.col("u") / F.nullif(F.col("np") * F.col("nn"), F.lit(0)), 6).alias("roc_auc"), F.round(F.col("ap") / F.nullif("np", F.lit(0)), 6).alias("average_precision"), F.col("np").alias("positives"), F.col("nn").alias("negatives"))
+    a = c.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"))
+    return a.select(*keys, F.round(F.col("u") / F.nullif(F.col("np") * F.col("nn"), F.lit(0)), 6).alias("roc_auc"), F.round(F.col("ap") / F.nullif("np", F.lit(0)), 6).alias("average_precision"), F.col("np").alias("positives"), F.col("nn").alias("negatives"))
 
 
 def set_scores(cited: Column, gold: Column) -> dict[str, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesieve.operators.evaluation import auc
+from pagesieve.runtime import materialize
 
 
 def feature_frame(df: DataFrame, numeric: list[str], categories: dict[str, list[str]]) -> DataFrame:
@@ -41,16 +44,23 @@ def _auc(scored: DataFrame, label: str) -> float:
     return auc(s, F.col(label) == 1, "_s").first()["roc_auc"] or 0.0
 
 
-def permutation_importance(model, df: DataFrame, features: list[str], label: str, ident: str, seed: int = 42) -> DataFrame:
-    """Loss of ROC-AUC when a feature's values are dealt anew: by a join of two seeded orders, in hash blocks."""
-    base = _auc(model.transform(df), label)
+def permutation_importance(model, df: DataFrame, features: list[str], label: str, ident: str, repeats: int = 8, seed: int = 42) -> DataFrame:
+    """(feature, loss, deviation): mean loss of ROC-AUC over ``repeats`` when a feature's values are dealt anew, by joins of two seeded orders in hash blocks.
+
+    A repeat is one join; every row then stands once for each feature, with its value or that of the row it was dealt, and all areas are taken together.
+    """
     order = lambda k: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(k), ident), ident))
-    blocks = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(64)))
-    out = []
-    for f in features:
-        left, right = blocks.withColumn("_i", order(1)).drop(f), blocks.select("_b", order(2).alias("_i"), f)
-        out.append((f, round(base - _auc(model.transform(left.join(right, ["_b", "_i"])), label), 6)))
-    return df.sparkSession.createDataFrame(out, "feature string, loss double")
+    blocks = df.select(ident, label, *features).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(64)))
+    dealt = [blocks.withColumns({"_r": F.lit(-1), "_f": F.lit("")}).drop("_b")]
+    for r in range(repeats):
+        other = blocks.select("_b", order(2 * r + 1).alias("_i"), *[F.col(f).alias(f"_{f}") for f in features])
+        both = blocks.withColumn("_i", order(2 * r)).join(other, ["_b", "_i"]).withColumn("_f", F.explode(F.array(*[F.lit(f) for f in features])))
+        dealt.append(both.select(ident, label, *[F.when(F.col("_f") == f, F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in features], F.lit(r).alias("_r"), "_f"))
+    scored = model.transform(reduce(DataFrame.unionByName, dealt)).withColumn("_s", vector_to_array("probability")[1])
+    areas = auc(scored, F.col(label) == 1, "_s", ["_f", "_r"]).select("_f", "_r", "roc_auc")
+    base = areas.where("_r = -1").select(F.col("roc_auc").alias("_base"))
+    loss = areas.where("_r >= 0").crossJoin(base).withColumn("loss", F.col("_base") - F.col("roc_auc"))  # one row beside a row a feature and repeat
+    return loss.groupBy(F.col("_f").alias("feature")).agg(F.round(F.avg("loss"), 6).alias("loss"), F.round(F.stddev_pop("loss"), 6).alias("deviation"))
 
 
 def compare(train: DataFrame, test: DataFrame, features: list[str], label: str, seed: int = 42) -> DataFrame:
@@ -72,7 +82,9 @@ def compare(train: DataFrame, test: DataFrame, features: list[str], label: str,
 
 
 def leave_one_out(train: DataFrame, test: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Change of ROC-AUC of a small forest without each feature."""
+    """Change of ROC-AUC of a small forest without each feature. Train and test rows are written once."""
+    train, test = materialize(train, "models"), materialize(test, "models")
+
     def of(names: list[str]) -> float:
         return _auc(forest(train, names, label, trees=10, depth=6)[0].transform(test), label)
 

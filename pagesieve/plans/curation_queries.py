@@ -138,8 +138,9 @@ def label_by_id_map(spark, sf_dir):
 def membership_suffix(spark, sf_dir):
     """Rows whose host is a listed host or below it."""
     from pagesieve.functions.urls import host
+    from pagesieve.plans.document_queries import frequent_domains
 
-    listed = F.array(*[F.lit(d) for d in ("quillhost.example", "brindlepages.test", "formoak.co.example")])
+    listed = F.array(*[F.lit(d) for d in frequent_domains(spark, sf_dir)] or [F.lit(None).cast("string")])
     g = _g(spark, sf_dir).where("url is not null").select("id", host(F.col("url")).alias("h"))
     return g.where(F.exists(listed, lambda d: (F.col("h") == d) | F.endswith(F.col("h"), F.concat(F.lit("."), d)))).select("id")
 
@@ -300,7 +301,7 @@ SQL = {
     "join_shared_domains": f"WITH {_G} SELECT registered_domain, count(*) FILTER (label = 'phishing') AS phishing, count(*) FILTER (label = 'benign') AS benign FROM g WHERE registered_domain <> '' GROUP BY 1 HAVING phishing > 0 AND benign > 0",
     "join_model_compare": f"WITH {_P}, l AS (SELECT label, verdict, {_LASTV.format(t='generated_text')} AS v FROM p), x AS (SELECT label, verdict, {_VERDICT} AS i FROM l) SELECT CASE WHEN verdict IS NOT DISTINCT FROM i THEN 'same' WHEN i = label THEN 'fixed' WHEN verdict = label THEN 'broke' ELSE 'differ' END AS outcome, count(*) AS n FROM x GROUP BY 1",
     "label_by_id_map": f"WITH {_G}, gold AS (SELECT id, min(label) AS gold FROM g WHERE label IS NOT NULL GROUP BY 1), o AS (SELECT id, lower(trim(label)) AS label FROM observations QUALIFY row_number() OVER (PARTITION BY id ORDER BY captured_at DESC, ingested_at DESC) = 1) SELECT id, coalesce(label, gold) AS label FROM o LEFT JOIN gold USING (id)",
-    "membership_suffix": f"WITH {_G}, h AS (SELECT id, lower(regexp_replace(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)', 1), '^.*@', '')) AS h FROM g WHERE url IS NOT NULL), k AS (SELECT id, regexp_replace(h, '\\.*(:[0-9]*)?$', '') AS h FROM h) SELECT id FROM k WHERE h IN ('quillhost.example', 'brindlepages.test', 'formoak.co.example') OR h LIKE '%.quillhost.example' OR h LIKE '%.brindlepages.test' OR h LIKE '%.formoak.co.example'",
+    "membership_suffix": f"WITH {_G}, h AS (SELECT id, lower(regexp_replace(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)', 1), '^.*@', '')) AS h FROM g WHERE url IS NOT NULL), k AS (SELECT id, regexp_replace(h, '\\.*(:[0-9]*)?$', '') AS h FROM h) SELECT id FROM k WHERE EXISTS (SELECT 1 FROM (SELECT lower(registered_domain) AS d FROM grad_rows WHERE registered_domain <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) WHERE h = d OR h LIKE '%.' || d)",
     "set_operations": "WITH a AS (SELECT DISTINCT id FROM observations), b AS (SELECT DISTINCT id FROM grad_rows) SELECT 'both' AS \"set\", count(*) AS n FROM a WHERE id IN (SELECT id FROM b) UNION ALL SELECT 'observations only', count(*) FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT 'rows only', count(*) FROM b WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT 'all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)",
     "dedup_rows": "SELECT md5(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "dup_counts": "SELECT count(*) - count(DISTINCT id) AS repeated_ids, count(url) - count(DISTINCT url) AS repeated_urls, sum(coalesce(registered_domain = '', true)::INT)::BIGINT AS without_domain FROM grad_rows",

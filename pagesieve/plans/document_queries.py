@@ -109,9 +109,15 @@ def fn_extract_json(spark, sf_dir):
     return table(spark, sf_dir, "raw_records").select("line_no", F.coalesce(F.length(D.first_json(F.col("payload"))), F.lit(-1)).alias("chars"))
 
 
+def frequent_domains(spark, sf_dir, most: int = 5) -> list[str]:
+    """The most frequent registered domains of the training rows stand for a list of well-known ones."""
+    d = table(spark, sf_dir, "grad_rows").where("registered_domain <> ''").select(F.lower("registered_domain").alias("d"))
+    return [r["d"] for r in d.groupBy("d").count().orderBy(F.col("count").desc(), "d").limit(most).collect()]
+
+
 def fn_similar_hosts(spark, sf_dir):
-    """Registered domains whose first label is within one edit of a well-known host's."""
-    known = F.array(*[F.lit(k) for k in ("quillhost", "brindlepages", "formoak", "shortleaf", "cdnmarrow")])
+    """Registered domains whose first label is within one edit of a well-known one's."""
+    known = F.array(*[F.lit(k.split(".")[0]) for k in frequent_domains(spark, sf_dir)] or [F.lit(None).cast("string")])
     d = rows(spark, sf_dir).where("registered_domain <> ''").select(F.lower("registered_domain").alias("d")).distinct()
     return d.select("d", F.element_at(F.split("d", r"\."), 1).alias("name")).where(F.exists(known, lambda k: F.levenshtein(F.col("name"), k) < 2)).select(F.col("d").alias("domain"))
 
@@ -171,7 +177,8 @@ SQL = {
     "ev_diversity": """WITH p AS (SELECT eval_idx, lower(generated_text) AS t FROM predictions WHERE generated_text IS NOT NULL ORDER BY eval_idx LIMIT 50), g AS (SELECT DISTINCT eval_idx, unnest(list_transform(range(1, length(t) - 2), lambda i: substring(t, i, 4))) AS g FROM p WHERE length(t) >= 4), n AS (SELECT eval_idx, count(*) AS n FROM g GROUP BY 1),
  k AS (SELECT x.eval_idx AS a, y.eval_idx AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.eval_idx < y.eval_idx GROUP BY 1, 2), j AS (SELECT a, b, k / (na.n + nb.n - k) AS s FROM k JOIN n na ON na.eval_idx = a JOIN n nb ON nb.eval_idx = b), c AS (SELECT count(*) AS c FROM n)
  SELECT round((SELECT sum(s) FROM j) / (c * (c - 1) / 2), 6) AS mean_similarity, round((SELECT count(DISTINCT e) FROM (SELECT a AS e FROM j WHERE s > 0.8 UNION ALL SELECT b FROM j WHERE s > 0.8)) / c, 6) AS template_rate FROM c""",
-    "fn_similar_hosts": "WITH d AS (SELECT DISTINCT lower(registered_domain) AS d FROM grad_rows WHERE registered_domain <> '') SELECT d AS domain FROM d WHERE list_min(list_transform(['quillhost', 'brindlepages', 'formoak', 'shortleaf', 'cdnmarrow'], lambda k: levenshtein(split_part(d, '.', 1), k))) < 2",
+    "fn_similar_hosts": """WITH n AS (SELECT lower(registered_domain) AS d, count(*) AS n FROM grad_rows WHERE registered_domain <> '' GROUP BY 1), k AS (SELECT split_part(d, '.', 1) AS k FROM n ORDER BY n DESC, d LIMIT 5)
+      SELECT d AS domain FROM n WHERE EXISTS (SELECT 1 FROM k WHERE levenshtein(split_part(d, '.', 1), k) < 2)""",
 }
 _INFERRED = r"regexp_extract_all(lower(coalesce(generated_text, '')), 'verdict\W{0,6}(phishing|benign|legitimate|safe|malicious|suspicious|uncertain)', 1)[-1]"
 _SCORED = _CURATION_SQL["join_grounding"]

@@ -8,7 +8,7 @@ from pagesieve.operators import curation as C
 from pagesieve.operators import models as M
 from pagesieve.plans.audit_queries import MEASURES, records
 from pagesieve.sources import readers
-from pagesieve.runtime import table
+from pagesieve.runtime import materialize, table
 
 
 def _labelled(spark, sf_dir):
@@ -22,8 +22,8 @@ def ml_rf(spark, sf_dir):
 
 
 def ml_perm_importance(spark, sf_dir):
-    d = _labelled(spark, sf_dir)
-    model, _ = M.forest(d.where("split = 'train'"), MEASURES, "y", trees=10, depth=5)
+    d = materialize(_labelled(spark, sf_dir), "models")
+    model, _ = M.forest(d.where("split = 'train'"), MEASURES, "y", trees=20, depth=6)
     return M.permutation_importance(model, d.where("split = 'test'"), MEASURES, "y", "id")
 
 
@@ -34,7 +34,7 @@ def ml_paper_models(spark, sf_dir):
 
 def ml_lofo(spark, sf_dir):
     d = _labelled(spark, sf_dir)
-    return M.leave_one_out(d.where("split = 'train'"), d.where("split = 'test'"), ["forms", "anchors", "text_length"], "y")
+    return M.leave_one_out(d.where("split = 'train'"), d.where("split = 'test'"), MEASURES, "y")
 
 
 def ml_feature_frame(spark, sf_dir):
