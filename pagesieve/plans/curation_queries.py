@@ -138,9 +138,9 @@ def label_by_id_map(spark, sf_dir):
 def membership_suffix(spark, sf_dir):
     """Rows whose host is a listed host or below it."""
     from pagesieve.functions.urls import host
-    from pagesieve.plans.document_queries import frequent_domains
+    from pagesieve.plans.document_queries import _frequent_domains
 
-    listed = F.array(*[F.lit(d) for d in frequent_domains(spark, sf_dir)] or [F.lit(None).cast("string")])
+    listed = F.array(*[F.lit(d) for d in _frequent_domains(spark, sf_dir)] or [F.lit(None).cast("string")])
     g = _g(spark, sf_dir).where("url is not null").select("id", host(F.col("url")).alias("h"))
     return g.where(F.exists(listed, lambda d: (F.col("h") == d) | F.endswith(F.col("h"), F.concat(F.lit("."), d)))).select("id")
 

@@ -109,7 +109,7 @@ def fn_extract_json(spark, sf_dir):
     return table(spark, sf_dir, "raw_records").select("line_no", F.coalesce(F.length(D.first_json(F.col("payload"))), F.lit(-1)).alias("chars"))
 
 
-def frequent_domains(spark, sf_dir, most: int = 5) -> list[str]:
+def _frequent_domains(spark, sf_dir, most: int = 5) -> list[str]:
     """The most frequent registered domains of the training rows stand for a list of well-known ones."""
     d = table(spark, sf_dir, "grad_rows").where("registered_domain <> ''").select(F.lower("registered_domain").alias("d"))
     return [r["d"] for r in d.groupBy("d").count().orderBy(F.col("count").desc(), "d").limit(most).collect()]
@@ -117,7 +117,7 @@ def frequent_domains(spark, sf_dir, most: int = 5) -> list[str]:
 
 def fn_similar_hosts(spark, sf_dir):
     """Registered domains whose first label is within one edit of a well-known one's."""
-    known = F.array(*[F.lit(k.split(".")[0]) for k in frequent_domains(spark, sf_dir)] or [F.lit(None).cast("string")])
+    known = F.array(*[F.lit(k.split(".")[0]) for k in _frequent_domains(spark, sf_dir)] or [F.lit(None).cast("string")])
     d = rows(spark, sf_dir).where("registered_domain <> ''").select(F.lower("registered_domain").alias("d")).distinct()
     return d.select("d", F.element_at(F.split("d", r"\."), 1).alias("name")).where(F.exists(known, lambda k: F.levenshtein(F.col("name"), k) < 2)).select(F.col("d").alias("domain"))
 
