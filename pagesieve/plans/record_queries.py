@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagesieve.functions import brands as B
 from pagesieve.functions.urls import host, registered_domain
 from pagesieve.operators import answers as A
-from pagesieve.operators import stage_a
+from pagesieve.operators import registry, stage_a
 from pagesieve.plans.url_queries import suffixes
 from pagesieve.runtime import latest, shared_dir, table
 from pagesieve.sources import readers
@@ -19,6 +19,12 @@ from pagesieve.sources.store import Store
 
 #: Most frequent registered domains that stand for known organizations: the first for providers of three kinds, all for brands.
 KNOWN, KINDS = 20, ("known_payment_or_app_store", "known_identity_provider", "known_infrastructure_provider")
+#: Rules that only ask what the visible text speaks of, and the matter of each.
+TEXT_RULES = {
+    "cookie.notice": "cookie", "disclosure.present": "disclosure", "verification.challenge_language": "verification", "challenge.captcha_or_antibot": "captcha", "security.claim_language": "security", "urgency.language": "urgency",
+    "trust.reassurance_language": "trust", "content.download_prompt": "download", "content.installer_prompt": "installer", "content.payment_request_language": "payment", "content.checkout_shipping_cues": "checkout",
+    "content.article_editorial": "article", "content.business_service_catalog": "business", "content.profile_organization": "profile", "content.directory_service": "directory", "chat.widget_presence": "chat", "content.comment_social_proof": "comment",
+}
 GENERIC_LABELS = ["www", "login", "auth", "account", "accounts", "secure", "mail", "app", "cdn", "static"]
 
 
@@ -138,6 +144,22 @@ def ev_grounding_rules(spark, sf_dir):
     return rows.groupBy(F.col("id").alias("feature"), "status").agg(F.count("*").alias("n"))
 
 
+def registry_rules(spark, sf_dir):
+    """Rules of the second registry that hold, a row each."""
+    from pagesieve.plans.page_queries import _last, _prepared
+
+    e = _last(registry.evidence(_prepared(spark, sf_dir)), "features")
+    return e.select("id", F.explode("features").alias("f")).select("id", F.col("f.id").alias("rule"), "f.direction", "f.severity")
+
+
+def registry_text_rules(spark, sf_dir):
+    """How many observations speak of each matter."""
+    from pagesieve.plans.page_queries import _last, _prepared
+
+    e = _last(registry.evidence(_prepared(spark, sf_dir), include=list(TEXT_RULES)), "features")
+    return e.select(F.explode("features.id").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def src_keyset_scan(spark, sf_dir):
     """The second page of a hundred training rows by id."""
     rows = table(spark, sf_dir, "grad_rows").select("id", "url").groupBy("id").agg(F.min("url").alias("url"))
@@ -185,7 +207,7 @@ def kv_store(spark, sf_dir):
 QUERIES = {
     q.__name__: q
     for q in (
-        stage_a_observations, fn_relationship, fn_brand_claims, fn_lookalike, alias_cross_join, fn_parse_answer, fn_infer_verdict, fn_clean_html, fn_humanize_id, ev_grounding_rules,
+        stage_a_observations, fn_relationship, fn_brand_claims, fn_lookalike, alias_cross_join, fn_parse_answer, fn_infer_verdict, fn_clean_html, fn_humanize_id, ev_grounding_rules, registry_rules, registry_text_rules,
         src_keyset_scan, src_cursor_scan, src_projection, limit_early_stop, topk_local_rows, kv_store,
     )
 }
@@ -193,7 +215,11 @@ _LATEST = "o AS (SELECT id, input, capture_score FROM observations QUALIFY row_n
 _FEATURE = "CASE WHEN f = 'url.long_url' THEN length > 75 WHEN f = 'url.http_not_https' THEN address NOT LIKE 'https%' WHEN f = 'redirect.multi_hop' THEN hops > 1 WHEN f = 'form.present' THEN forms > 0 END"
 _KNOWN_SQL = f"""known AS (SELECT registered_domain AS d, regexp_extract(registered_domain, '^[a-z-]*', 0) AS n, row_number() OVER (ORDER BY count(*) DESC, registered_domain) AS k
   FROM grad_rows WHERE regexp_matches(registered_domain, '^[a-z0-9.-]+\\.[a-z]+$') GROUP BY registered_domain QUALIFY k <= {KNOWN}), named AS (SELECT d, k, substr(replace(n, '-', ''), 1, 7) AS name FROM known)"""
+_SPEAKS = " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, count(*) AS n FROM v WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(w.replace(chr(39), chr(39) * 2).replace(' ', chr(92) + 's+') for w in registry.WORDS[matter])})([^\\p{{L}}\\p{{N}}_]|$)')" for rule, matter in TEXT_RULES.items()
+)
 SQL = {
+    "registry_text_rules": f"WITH {_LATEST}, v AS (SELECT lower(coalesce(input.visible_text, '')) AS t FROM o) SELECT * FROM ({_SPEAKS}) WHERE n > 0",
     "fn_brand_claims": rf"WITH {_LATEST}, {_KNOWN_SQL}, t AS (SELECT id, lower(trim(regexp_replace(coalesce(input.title, ''), '\s+', ' ', 'g'))) AS t FROM o) SELECT id, d AS brand, name AS matched FROM t JOIN named ON length(name) >= {B.LEAST} AND regexp_matches(t, '\b' || name || '\b') WHERE t NOT IN ('', 'home', 'index', 'login')",
     "src_keyset_scan": "SELECT id, min(url) AS url FROM grad_rows GROUP BY id ORDER BY id LIMIT 100 OFFSET 100",
     "src_cursor_scan": "SELECT id, min(url) AS url, max(length(html)) AS length FROM page_docs WHERE html IS NOT NULL AND html <> '' AND error IS NULL GROUP BY id",
