@@ -134,3 +134,17 @@ def skeleton(s: Column, confusables: dict[str, str]) -> Column:
 
 def head_window(s: Column, budget: int) -> Column:
     return F.rtrim(F.substring(s, 1, budget))
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two names, two digits; equal names need no comparison, and each different pair of a batch is compared once."""
+    import pandas as pd
+
+    def ratio(x, y):
+        from difflib import SequenceMatcher
+
+        known = {p: round(SequenceMatcher(None, *p).ratio(), 2) for p in set(zip(x, y)) if None not in p}
+        return pd.Series([known.get(p) for p in zip(x, y)], dtype=float)
+
+    ratio.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return F.when(a == b, 1.0).otherwise(F.pandas_udf(ratio, "double")(a, b))

@@ -9,6 +9,7 @@ from pagesieve.functions.urls import host, is_ip_host, registered_domain
 from pagesieve.operators import html_features as HF
 from pagesieve.operators import page_graph, rules
 from pagesieve.operators import url_features as UF
+from pagesieve.plans.schema_queries import SHORTENERS
 from pagesieve.plans.url_queries import host_sql, reg_sql, suffixes
 from pagesieve.runtime import latest, spread, table
 
@@ -72,7 +73,7 @@ def kapan_row(spark, sf_dir):
     h = lambda c: F.col(f"html_{c}")
     page = F.coalesce("final", "requested", F.lit(""))
     return d.select(
-        "id", T_similarity(a, b).alias("domain_similarity"), F.length(page).alias("url_length"), u("scheme_is_https").alias("http_protocol"), u("dot_count").alias("num_dot"), u("slash_count").alias("num_slash"), T.count_of(page, "//").alias("num_double_slash"), u("hyphen_count").alias("num_hyphen"),
+        "id", T.name_similarity(a, b).alias("domain_similarity"), F.length(page).alias("url_length"), u("scheme_is_https").alias("http_protocol"), u("dot_count").alias("num_dot"), u("slash_count").alias("num_slash"), T.count_of(page, "//").alias("num_double_slash"), u("hyphen_count").alias("num_hyphen"),
         u("underscore_count").alias("num_underscore"), u("equals_sign_count").alias("num_equal"), u("parenthesis_count").alias("num_paranthesis"), u("curly_bracket_count").alias("num_curly_bracket"), u("square_bracket_count").alias("num_square_bracket"), u("angle_bracket_count").alias("num_less_and_greater"),
         u("tilde_count").alias("num_tilde"), u("asterisk_count").alias("num_asterisk"), u("plus_sign_count").alias("num_plus"), (u("at_sign_count") > 0).cast("int").alias("url_inc_at"), u("host_is_ip_address").alias("url_inc_ip"), F.coalesce("status", F.lit(0)).alias("response_history"),
         ((F.col("hops") > 0) | (F.coalesce("requested", F.lit("")) != F.coalesce("final", F.lit("")))).cast("int").alias("redirect"), (h("anchors_with_href_count") + h("anchors_missing_href_count")).alias("num_a_href"), h("input_count").alias("num_input"), h("button_count").alias("num_button"), h("link_href_count").alias("num_link_href"), h("iframe_count").alias("num_iframe"),
@@ -80,20 +81,6 @@ def kapan_row(spark, sf_dir):
     )
 
 
-def T_similarity(a, b):
-    """Ratcliff-Obershelp ratio of two names, two digits."""
-    import pandas as pd
-
-    def ratio(x, y):
-        from difflib import SequenceMatcher
-
-        return pd.Series([round(SequenceMatcher(None, p, q).ratio(), 2) for p, q in zip(x, y)])
-
-    ratio.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-    # equal names need no comparison, and a Python call for the rest only
-    return F.when(a == b, 1.0).otherwise(F.pandas_udf(ratio, "double")(a, b))
-
-
 def uci_row(spark, sf_dir):
     """30 columns of -1, 0 and 1 and the result."""
     d, s = _paper(spark, sf_dir)
@@ -103,7 +90,7 @@ def uci_row(spark, sf_dir):
     domain = F.coalesce(registered_domain(F.col("final"), s), F.lit(""))
     links = F.coalesce(h("external_stylesheet_ratio"), F.lit(0.0))
     return d.select(
-        "id", sign(u("host_is_ip_address") > 0).alias("having_IP_Address"), F.when(u("final_url_length") < 54, 1).when(u("final_url_length") <= 75, 0).otherwise(-1).alias("URL_Length"), sign(domain.isin("shortleaf.invalid")).alias("Shortining_Service"), sign(u("at_sign_count") > 0).alias("having_At_Symbol"),
+        "id", sign(u("host_is_ip_address") > 0).alias("having_IP_Address"), F.when(u("final_url_length") < 54, 1).when(u("final_url_length") <= 75, 0).otherwise(-1).alias("URL_Length"), sign(F.col("final").rlike(SHORTENERS)).alias("Shortining_Service"), sign(u("at_sign_count") > 0).alias("having_At_Symbol"),
         sign(u("extra_double_slash_count") > 0).alias("double_slash_redirecting"), sign(F.contains(F.element_at(F.split(domain, r"\."), 1), F.lit("-"))).alias("Prefix_Suffix"), F.when(u("subdomain_label_count") <= 1, 1).when(u("subdomain_label_count") == 2, 0).otherwise(-1).alias("having_Sub_Domain"),
         sign(u("scheme_is_https") == 0).alias("SSLfinal_State"), F.lit(0).alias("Domain_registeration_length"), sign(h("external_favicon_count") > 0).alias("Favicon"), sign(u("non_default_port_present") > 0).alias("port"), sign((u("https_token_in_hostname") > 0) & (u("scheme_is_https") == 0)).alias("HTTPS_token"),
         bucket(h("external_resource_ratio"), 0.22, 0.61).alias("Request_URL"), bucket(h("external_anchor_ratio"), 0.31, 0.67).alias("URL_of_Anchor"), bucket(links, 0.17, 0.81).alias("Links_in_tags"),
