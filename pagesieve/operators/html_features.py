@@ -24,13 +24,19 @@ UNSEEN = ("script", "style", "noscript", "template", "svg")
 # Kinds of inputs that take text, when the type is missing too.
 TEXT_TYPES = frozenset(("", "text", "search", "url", "tel", "number"))
 _WS = re.compile(r"\s+")
+# Patterns of scripts, handlers and links that the features are defined by.
 _JS = {
-    "javascript_redirect_present": re.compile(r"(?:window|document|top|self)?\.?location(?:\.href)?\s*=[^=]|location\.(?:replace|assign)\s*\(", re.I),
-    "alert_or_popup_present": re.compile(r"\balert\s*\(|window\.open\s*\(", re.I),
-    "right_click_disabling_present": re.compile(r"contextmenu|event\.button\s*===?\s*2|preventdefault\s*\(", re.I),
+    "javascript_redirect_present": re.compile(r"(?:(?:window\s*\.\s*|document\s*\.\s*)?location(?:\s*\.\s*(?:href|replace|assign))?\s*=|(?:window\s*\.\s*)?location\s*\.\s*(?:replace|assign)\s*\()", re.I),
+    "alert_or_popup_present": re.compile(r"\b(?:window\s*\.\s*)?(?:alert|open)\s*\(", re.I),
+    "right_click_disabling_present": re.compile(r"contextmenu|event\.button\s*={1,2}\s*2|preventdefault\s*\(", re.I),
 }
-_CALLS = {"eval_call_count": re.compile(r"\beval\s*\(", re.I), "atob_call_count": re.compile(r"\batob\s*\(", re.I), "document_write_count": re.compile(r"document\.write(?:ln)?\s*\(", re.I), "onmouseover_handler_count": re.compile(r"\bonmouseover\b", re.I)}
-_POLICY = re.compile(r"privacy|terms|policy|conditions", re.I)
+_CALLS = {
+    "eval_call_count": re.compile(r"\beval\s*\(", re.I),
+    "atob_call_count": re.compile(r"\batob\s*\(", re.I),
+    "document_write_count": re.compile(r"\bdocument\s*\.\s*write(?:ln)?\s*\(", re.I),
+    "onmouseover_handler_count": re.compile(r"\bonmouseover\b", re.I),
+}
+_POLICY = re.compile(r"\b(?:privacy|terms|policy|conditions)\b", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 COUNTS = (
