@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.functions import brands as B
-from pagesieve.functions.urls import host, registered_domain
+from pagesieve.functions.urls import host, registered_domain, registered_domain_of_host
 from pagesieve.operators import answers as A
 from pagesieve.operators import registry, stage_a
-from pagesieve.plans.url_queries import suffixes
+from pagesieve.plans.url_queries import host_sql, reg_sql, suffixes
 from pagesieve.runtime import latest, shared_dir, table
 from pagesieve.sources import readers
 from pagesieve.sources.store import Store
@@ -65,7 +65,7 @@ def fn_relationship(spark, sf_dir):
     links = seen.select(page.alias("page"), F.explode("anchors.items").alias("a")).select("page", F.col("a.href").alias("href")).where(F.col("href").rlike("^https?://"))
     pairs = links.select(host(F.col("page")).alias("s"), host(F.col("href")).alias("t")).groupBy("s", "t").agg(F.count("*").alias("n"))
     providers = [(k, [d]) for k, d in zip(KINDS, known)]
-    kind = B.relationship(F.col("s"), F.col("t"), registered_domain(F.col("s"), tld), registered_domain(F.col("t"), tld), providers, _brands(known[len(KINDS) :]))
+    kind = B.relationship(F.col("s"), F.col("t"), registered_domain_of_host(F.col("s"), tld), registered_domain_of_host(F.col("t"), tld), providers, _brands(known[len(KINDS) :]))
     return pairs.groupBy(kind.alias("relationship")).agg(F.sum("n").alias("links"))
 
 
@@ -218,7 +218,13 @@ _KNOWN_SQL = f"""known AS (SELECT registered_domain AS d, regexp_extract(registe
 _SPEAKS = " UNION ALL ".join(
     f"SELECT '{rule}' AS rule, count(*) AS n FROM v WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(w.replace(chr(39), chr(39) * 2).replace(' ', chr(92) + 's+') for w in registry.WORDS[matter])})([^\\p{{L}}\\p{{N}}_]|$)')" for rule, matter in TEXT_RULES.items()
 )
+_UNDER = "({0} = d OR ends_with({0}, '.' || d) OR {1} = d OR ends_with({1}, '.' || d))"
+_KIND_SQL = " ".join(f"WHEN EXISTS (SELECT 1 FROM known WHERE k = {k + 1} AND {_UNDER.format('t', 'td')}) THEN '{kind}'" for k, kind in enumerate(KINDS))
+_BRAND_SQL = "EXISTS (SELECT 1 FROM known x JOIN known y ON substr(split_part(x.d, '.', 1), 1, 4) = substr(split_part(y.d, '.', 1), 1, 4) WHERE x.k > 3 AND y.k > 3 AND (sd = x.d OR ends_with(sd, '.' || x.d)) AND (td = y.d OR ends_with(td, '.' || y.d)))"
 SQL = {
+    "fn_relationship": f"""WITH {_LATEST}, {_KNOWN_SQL}, links AS (SELECT coalesce(input.final_url, input.url) AS page, unnest(input.anchors.items).href AS href FROM o),
+      pairs AS (SELECT {host_sql('page')} AS s, {host_sql('href')} AS t FROM links WHERE regexp_matches(href, '^https?://')), doms AS (SELECT s, t, coalesce({reg_sql('s')}, '') AS sd, coalesce({reg_sql('t')}, '') AS td FROM pairs)
+      SELECT CASE WHEN coalesce(s, '') = '' OR coalesce(t, '') = '' THEN 'unknown' WHEN sd <> '' AND sd = td THEN 'same_registrable_domain' {_KIND_SQL} WHEN {_BRAND_SQL} THEN 'same_organization_or_alias' ELSE 'unrelated_third_party' END AS relationship, count(*) AS links FROM doms GROUP BY 1""",
     "registry_text_rules": f"WITH {_LATEST}, v AS (SELECT lower(coalesce(input.visible_text, '')) AS t FROM o) SELECT * FROM ({_SPEAKS}) WHERE n > 0",
     "fn_brand_claims": rf"WITH {_LATEST}, {_KNOWN_SQL}, t AS (SELECT id, lower(trim(regexp_replace(coalesce(input.title, ''), '\s+', ' ', 'g'))) AS t FROM o) SELECT id, d AS brand, name AS matched FROM t JOIN named ON length(name) >= {B.LEAST} AND regexp_matches(t, '\b' || name || '\b') WHERE t NOT IN ('', 'home', 'index', 'login')",
     "src_keyset_scan": "SELECT id, min(url) AS url FROM grad_rows GROUP BY id ORDER BY id LIMIT 100 OFFSET 100",
