@@ -32,7 +32,7 @@ def summary(df: DataFrame, truth: str, said: str, classes: list[str]) -> DataFra
     """Accuracy, balanced accuracy (mean recall) and mean F1 of the classes; rows without a true class are left out, answers outside the classes are wrong."""
     known = df.where(F.col(truth).isin(classes))
     right = F.coalesce(F.col(said) == F.col(truth), F.lit(False))
-    by_class = scores(known, truth, said, classes).where("support > 0").agg(F.round(F.avg("recall"), 5).alias("balanced_accuracy"), F.round(F.avg("f1"), 5).alias("macro_f1"))
+    by_class = scores(known, truth, said, classes).where("support > 0").agg(F.round(F.avg("recall"), 4).alias("balanced_accuracy"), F.round(F.avg("f1"), 4).alias("macro_f1"))
     return known.agg(F.count("*").alias("rows"), F.round(F.avg(right.cast("int")), 6).alias("accuracy")).crossJoin(by_class)  # one row beside one
 
 

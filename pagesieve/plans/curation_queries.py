@@ -316,7 +316,7 @@ SQL = {
     "ev_confusion": f"WITH {_P} SELECT label, count(*) FILTER (verdict = 'phishing') AS said_phishing, count(*) FILTER (verdict = 'benign') AS said_benign, count(*) FILTER (verdict IS NULL OR verdict NOT IN ('phishing', 'benign')) AS said_other FROM p GROUP BY 1",
     "ev_summary": """WITH p AS (SELECT lower(label) AS label, lower(predicted_verdict) AS v FROM predictions WHERE lower(label) IN ('phishing', 'benign')), c AS (SELECT label AS k, count(*) AS n, count(*) FILTER (v = label) AS tp FROM p GROUP BY 1),
       s AS (SELECT k, n, tp, (SELECT count(*) FROM p WHERE v = k) AS said FROM c), f AS (SELECT round(tp / n, 6) AS r, round(coalesce(2 * (tp / nullif(said, 0)) * (tp / n) / nullif(tp / nullif(said, 0) + tp / n, 0), 0), 6) AS f1 FROM s)
-      SELECT (SELECT count(*) FROM p) AS rows, (SELECT round(avg(CASE WHEN v = label THEN 1 ELSE 0 END), 6) FROM p) AS accuracy, round(avg(r), 5) AS balanced_accuracy, round(avg(f1), 5) AS macro_f1 FROM f""",
+      SELECT (SELECT count(*) FROM p) AS rows, (SELECT round(avg(CASE WHEN v = label THEN 1 ELSE 0 END), 6) FROM p) AS accuracy, round(avg(r), 4) AS balanced_accuracy, round(avg(f1), 4) AS macro_f1 FROM f""",
     "ev_prf": f"WITH {_P} {_PRF('verdict')}",
     "ev_parse_fail": f"WITH q AS (SELECT lower(label) AS label, lower(predicted_verdict) AS v FROM predictions), p AS (SELECT label, CASE WHEN v IN ('phishing', 'benign') THEN v WHEN label = 'phishing' THEN 'benign' ELSE 'phishing' END AS verdict FROM q) {_PRF('verdict')}",
     "ev_auc": """WITH o AS (SELECT lower(trim(label)) = 'phishing' AS y, capture_score AS s FROM observations QUALIFY row_number() OVER (PARTITION BY id ORDER BY captured_at DESC, ingested_at DESC) = 1), f AS (SELECT * FROM o WHERE y IS NOT NULL AND s IS NOT NULL), c AS (SELECT s, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM f GROUP BY s),
