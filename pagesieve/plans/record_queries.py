@@ -163,9 +163,8 @@ def registry_text_rules(spark, sf_dir):
 def src_keyset_scan(spark, sf_dir):
     """The second page of a hundred training rows by id."""
     rows = table(spark, sf_dir, "grad_rows").select("id", "url").groupBy("id").agg(F.min("url").alias("url"))
-    pages = readers.keyset_scan(rows, "id", 100)
-    next(pages)
-    return next(pages)
+    last = readers.keyset_page(rows, "id", None, 100).agg(F.max("id")).first()[0]
+    return readers.keyset_page(rows, "id", last, 100) if last is not None else rows
 
 
 def src_cursor_scan(spark, sf_dir):
